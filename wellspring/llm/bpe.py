@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterable
 from itertools import chain
 
@@ -31,7 +32,9 @@ from .common import documents, map_rows
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept for one worker; the table is emptied when full, so memory stays bounded.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
+#: White space other than the space and the line end.
+OTHER_SPACE = regex.compile(r"[^\S \n]")
 
 
 def byte_chars() -> dict[str, int]:
@@ -71,9 +74,30 @@ class Merges:
         order = np.argsort(key)
         self.key, self.key_rank = key[order], rank[order]
         self.merge = {(int(a), int(b)): (int(r), int(m)) for a, b, r, m in zip(left, right, rank, made)}
-        self.longest: dict[bytes, int] = {}
+        self.quick = {int(a) << 32 | int(b): int(r) << 32 | int(m) for a, b, r, m in zip(left, right, rank, made)}
+        self.longest: dict[bytes, int] = {}  # by the next three bytes
         for b in self.ids:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 0), len(b))
+            self.longest[b[:3]] = max(self.longest.get(b[:3], 0), len(b))
+        self.single = [self.ids[bytes([b])] for b in range(256)]
+        self.single_array = np.array(self.single, dtype=np.int64)
+        self.made = made
+        # Hashes of byte ranges, alike at every position: sums of byte values times powers, scaled back by the inverse power.
+        seeds = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+        self.byte_value = seeds * np.uint64(2) + np.uint64(1)
+        self.base, self.inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+        self.powers = self.unpowers = np.ones(1, dtype=np.uint64)
+        whole = sorted(self.ids)
+        flat = np.frombuffer(b"".join(whole), dtype=np.uint8)
+        ends = np.cumsum([len(b) for b in whole])
+        starts = ends - [len(b) for b in whole]
+        sums = self.prefix(flat)
+        h = (sums[ends] - sums[starts]) * self.unpowers[starts]
+        order = np.argsort(h)
+        self.vocab_hash, self.vocab_id = h[order], np.array([self.ids[b] for b in whole], dtype=np.int64)[order]
+        self.reach = np.full(1 << 24, 2, dtype=np.uint8)
+        for b, n in self.longest.items():
+            if len(b) == 3:
+                self.reach[b[0] | b[1] << 8 | b[2] << 16] = min(n, 255)
         self.verified = 0
         self.failed = 0
 
@@ -107,16 +131,28 @@ class Merges:
     def greedy(self, word: bytes) -> list[int]:
         out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
         while at < n:
-            size = min(longest.get(word[at : at + 2], 1), n - at)
-            while size > 1 and word[at : at + size] not in ids:
-                size -= 1
-            out.append(ids[word[at : at + size]])
-            at += size
+            end = at + longest.get(word[at : at + 3], 2)
+            while (t := ids.get(word[at:end])) is None:
+                end = min(end, n) - 1
+            out.append(t)
+            at = min(end, n)
         return out
 
     def exact(self, word: bytes) -> list[int]:
-        """Merge by rank, leftmost first, with a heap over a linked list."""
-        parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        """Merge by rank, leftmost first; long words with a heap over a linked list."""
+        parts = list(map(self.single.__getitem__, word))
+        if len(parts) <= 40:
+            get, never = self.quick.get, 1 << 62
+            found = [get(a << 32 | b, never) for a, b in zip(parts, parts[1:])]
+            while found and (best := min(found)) != never:
+                i = found.index(best)
+                parts[i : i + 2] = [made := best & 0xFFFFFFFF]
+                del found[i]
+                if i < len(found):
+                    found[i] = get(made << 32 | parts[i + 1], never)
+                if i:
+                    found[i - 1] = get(parts[i - 1] << 32 | made, never)
+            return parts
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (m := self.merge.get((parts[i], parts[i + 1])))]
@@ -137,24 +173,118 @@ class Merges:
                 heapq.heappush(heap, (m[0], h, parts[h], parts[i]))
         return [p for p in parts if p >= 0]
 
+    def prefix(self, flat: np.ndarray) -> np.ndarray:
+        n = len(flat) + 1
+        if len(self.powers) < n:
+            with np.errstate(over="ignore"):
+                self.powers = np.cumprod(np.r_[np.uint64(1), np.full(n, self.base)])
+                self.unpowers = np.cumprod(np.r_[np.uint64(1), np.full(n, self.inverse)])
+        sums = np.zeros(n, dtype=np.uint64)
+        np.cumsum(self.byte_value[flat] * self.powers[: n - 1], out=sums[1:])
+        return sums
+
+    def greedy_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches of all words at once: token ids and, for each, the number of its word."""
+        joined = b"".join(words)
+        flat = np.frombuffer(joined + b"\0\0", dtype=np.uint8)
+        sums = self.prefix(flat)
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        word, at = np.arange(len(words)), np.r_[0, ends[:-1]]
+        got_id, got_word = [], []
+        go = at < ends
+        word, at = word[go], at[go]
+        last = len(self.vocab_hash) - 1
+        while len(word):
+            key = flat[at].astype(np.int64) | flat[at + 1].astype(np.int64) << 8 | flat[at + 2].astype(np.int64) << 16
+            rest = ends[word] - at
+            size = np.where(rest < 3, rest, np.minimum(self.reach[key], rest))
+            token = np.full(len(word), -1, dtype=np.int64)
+            todo = np.arange(len(word))
+            while len(todo):
+                s = at[todo]
+                h = (sums[s + size[todo]] - sums[s]) * self.unpowers[s]
+                k = np.minimum(np.searchsorted(self.vocab_hash, h), last)
+                hit = self.vocab_hash[k] == h
+                token[todo[hit]] = self.vocab_id[k[hit]]
+                todo = todo[~hit]
+                size[todo] -= 1
+            got_id.append(token)
+            got_word.append(word)
+            at = at + size
+            go = at < ends[word]
+            word, at = word[go], at[go]
+        if not got_id:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        order = np.argsort(np.concatenate(got_word), kind="stable")
+        ids, word = np.concatenate(got_id)[order], np.concatenate(got_word)[order]
+        if b"".join(map(self.bytes.__getitem__, ids.tolist())) != joined:  # two byte strings of one hash
+            guess = [self.greedy(w) for w in words]
+            return np.array(list(chain.from_iterable(guess))), np.repeat(np.arange(len(words)), list(map(len, guess)))
+        return ids, word
+
+    def exact_many(self, words: list[bytes]) -> list[list[int]]:
+        """The merges of many short words, one for each word and round: always its leftmost pair of lowest rank."""
+        never = np.iinfo(np.int64).max
+        width = max(map(len, words))
+        tokens = np.zeros((len(words), width + 1), dtype=np.int64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        inside = np.arange(width + 1) < sizes[:, None]
+        tokens[inside] = self.single_array[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ranks = np.full((len(words), width + 1), never, dtype=np.int64)
+        pair = inside[:, 1:]
+        ranks[:, :-1][pair] = self.pair_rank(tokens[:, :-1][pair], tokens[:, 1:][pair])
+        out: list[list[int]] = [[]] * len(words)
+        live, cols = np.arange(len(words)), np.arange(width + 1)
+        while len(live):
+            best = ranks.argmin(1)
+            rank = ranks[np.arange(len(live)), best]
+            done = rank == never
+            if done.any():
+                for i, n, t in zip(live[done].tolist(), sizes[done].tolist(), tokens[done].tolist()):
+                    out[i] = t[:n]
+                live, tokens, ranks, sizes, best, rank = (x[~done] for x in (live, tokens, ranks, sizes, best, rank))
+            row = np.arange(len(live))
+            tokens[row, best] = self.made[rank]
+            # Take out the right token of the pair and the pair's own rank.
+            after = np.minimum(cols + (cols > best[:, None]), width)
+            tokens = np.take_along_axis(tokens, after, 1)
+            ranks = np.take_along_axis(ranks, np.minimum(cols + (cols >= best[:, None]), width), 1)
+            sizes = sizes - 1
+            has = best + 1 < sizes
+            r, c = row[has], best[has]
+            ranks[r, c] = self.pair_rank(tokens[r, c], tokens[r, c + 1])
+            has = best > 0
+            r, c = row[has], best[has]
+            ranks[r, c - 1] = self.pair_rank(tokens[r, c - 1], tokens[r, c])
+        return out
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Speculate on all words, verify all adjacent pairs at once, merge only the words that fail."""
-        guess = [self.greedy(w) for w in words]
-        sizes = np.fromiter(map(len, guess), dtype=np.int64, count=len(guess))
-        flat = np.fromiter(chain.from_iterable(guess), dtype=np.int64, count=int(sizes.sum()))
-        word = np.repeat(np.arange(len(words)), sizes)
-        at = np.flatnonzero(word[1:] == word[:-1]) if len(flat) else np.zeros(0, dtype=np.int64)
+        flat, word = self.greedy_many(words)
+        bounds = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+        ids = flat.tolist()
+        guess = [ids[i:j] for i, j in zip(bounds, bounds[1:])]
+        at = np.flatnonzero(word[1:] == word[:-1])
         if len(at):
-            bad = np.unique(word[at[~self.compatible(flat[at], flat[at + 1])]])
+            bad = np.unique(word[at[~self.compatible(flat[at], flat[at + 1])]]).tolist()
             self.verified, self.failed = self.verified + len(words), self.failed + len(bad)
-            for w in bad.tolist():
-                guess[w] = self.exact(words[w])
+            for low, high in ((0, 10), (10, 20), (20, 40)):
+                some = [w for w in bad if low < len(words[w]) <= high]
+                for w, t in zip(some, self.exact_many([words[w] for w in some]) if some else ()):
+                    guess[w] = t
+            for w in bad:
+                if len(words[w]) > 40:
+                    guess[w] = self.exact(words[w])
         return guess
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceEncoder:
     """Encodes whole texts through a bounded table of pieces; `fill` gives the ids of pieces that are not in it."""
 
@@ -165,19 +295,21 @@ class PieceEncoder:
 
     @staticmethod
     def pieces(text: str) -> list[str] | None:
-        """Cut before each single space between two non-space characters; None if other spacing makes that unsafe."""
-        parts = text.split(" ")
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return None
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        """Cut at single spaces and single line ends between non-space characters; None if other spacing makes that unsafe.
+
+        A piece stands for a space and its characters, or, if it starts with a line end, for just its characters.
+        The first piece gets a line end in front, whose one id `encode_batch` takes off again.
+        """
+        if OTHER_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return None
+        return f" \n{text.replace('\n', ' \n')}".split(" ")[1:]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The missing pieces of all texts are filled at once, so that checks run on long arrays."""
         runs: list[tuple[int, list[str] | None, str | int]] = []  # text, pieces, plain text or id of an added token
         for n, text in enumerate(texts):
             at = 0
-            for m in self.mark.finditer(text) if self.mark and self.mark.search(text) else ():
+            for m in self.mark.finditer(text) if self.mark and any(a in text for a in self.added) else ():
                 if m.start() > at:
                     runs.append((n, self.pieces(part := text[at : m.start()]), part))
                 runs.append((n, None, self.added[m[0]]))
@@ -189,15 +321,17 @@ class PieceEncoder:
             kept.clear()
         new = list(set().union(*[p for _, p, _ in runs if p]).difference(kept))
         for i in range(0, len(new), 20_000):
-            kept.update(zip(new[i : i + 20_000], map(tuple, self.fill(new[i : i + 20_000]))))
-        out: list[list[np.ndarray]] = [[] for _ in texts]
+            some = new[i : i + 20_000]
+            kept.update(zip(some, map(packed, self.fill([p if p[0] == "\n" else " " + p for p in some]))))
+        out: list[list[bytes]] = [[] for _ in texts]
         for n, p, plain in runs:
             if isinstance(plain, int):
-                out[n].append(np.array([plain], dtype="<u4"))
+                out[n].append(packed([plain]))
+            elif p is None:
+                out[n].append(packed(list(self.whole(plain))))
             else:
-                ids = self.whole(plain) if p is None else chain.from_iterable(map(kept.__getitem__, p))
-                out[n].append(np.fromiter(ids, dtype="<u4"))
-        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, dtype="<u4") for x in out]
+                out[n].append(b"".join(map(kept.__getitem__, p))[4:])
+        return [np.frombuffer(b"".join(x), dtype="<u4") for x in out]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
@@ -206,17 +340,25 @@ class PieceEncoder:
 def own_encoder(path: str) -> tuple[Merges, PieceEncoder]:
     merges, words = Merges(path), regex.compile(WORDS)
 
-    ids: dict[bytes, list[int]] = {}
-
     def fill(pieces: list[str]) -> list[list[int]]:
-        split = [[w.encode() for w in words.findall(p)] for p in pieces]
-        if len(ids) > CACHE_PIECES:
-            ids.clear()
-        distinct = list(set(chain.from_iterable(split)).difference(ids))
-        ids.update(zip(distinct, merges.encode_words(distinct)))
-        return [list(chain.from_iterable(map(ids.__getitem__, s))) for s in split]
-
-    return merges, PieceEncoder(fill, merges.added)
+        # Each piece begins with its only white space, so a word with white space in front begins a piece.
+        text = words.findall("".join(pieces)) if all(p[0].isspace() for p in pieces) else None
+        if text is None:
+            return [list(chain.from_iterable(merges.encode_words([w.encode() for w in words.findall(p)]))) for p in pieces]
+        distinct = list(dict.fromkeys(text))
+        ids = dict(zip(distinct, merges.encode_words([w.encode() for w in distinct])))
+        out: list[list[int]] = []
+        for w in text:
+            if w[0] in " \n":
+                out.append(list(ids[w]))
+            else:
+                out[-1] += ids[w]
+        return out
+
+    def whole(text: str) -> list[int]:
+        return list(chain.from_iterable(merges.encode_words([w.encode() for w in words.findall(text)])))
+
+    return merges, PieceEncoder(fill, merges.added, whole)
 
 
 def default_vocabulary() -> str:
