@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_output, bpe, exact_dedup, line_dedup, mixing, quality_crf, quality_rules, secrets
+from . import binary_output, bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_secrets": secrets.op5_secrets,
     "op6_quality_classifier": quality_crf.op6_quality_classifier,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
