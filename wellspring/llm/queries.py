@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_output, bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secrets
+from . import binary_output, bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secrets, token_rollup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_classifier": quality_crf.op6_quality_classifier,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_token_counts": token_rollup.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {"op1_mixing": mixing.oracle(), "op10_exact_dedup": exact_dedup.OP10_SQL}
