@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ SEEK_MAGIC, SKIPPABLE, SKIPPABLE_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 NULL_ID = -(2**63)
 
 
+@lru_cache(maxsize=1)
 def library_encoder(path: str) -> PieceEncoder:
-    """Pieces are encoded by the tokenizers library; the table of pieces only spares repeated calls."""
+    """The tokenizers library encodes; the table of pieces only spares repeated calls for equal pieces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -46,10 +48,21 @@ def library_encoder(path: str) -> PieceEncoder:
     tok.no_padding()
     tok.no_truncation()
     added = {a.content: i for i, a in tok.get_added_tokens_decoder().items()}
-    fast = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    return PieceEncoder(
-        lambda pieces: [e.ids for e in fast(pieces, add_special_tokens=False)], added, lambda t: tok.encode(t, add_special_tokens=False).ids
-    )
+    # In a byte-level vocabulary each character of a token stands for one byte.
+    length = np.zeros(tok.get_vocab_size(), dtype=np.int64)
+    for t, i in tok.get_vocab().items():
+        length[i] = len(t)
+    batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
+
+    def fill(pieces: list[str]) -> list[bytes]:
+        # New pieces are encoded as one text, which is cut where the pieces end.
+        ids = np.array(batch(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        cuts = np.searchsorted(np.cumsum(length[ids]), ends).tolist()
+        data = ids.tobytes()
+        return [data[4 * i : 4 * j + 4] for i, j in zip([0, *[c + 1 for c in cuts[:-1]]], cuts)]
+
+    return PieceEncoder(fill, added, lambda t: tok.encode(t, add_special_tokens=False).ids)
 
 
 def frame(ids: np.ndarray, dtype: str, packer: zstandard.ZstdCompressor) -> tuple[bytes, int, int]:

@@ -20,6 +20,7 @@ import heapq
 import json
 import struct
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,8 +32,8 @@ from .common import documents, map_rows
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept for one worker; the table is emptied when full, so memory stays bounded.
-CACHE_PIECES = 600_000
+#: Pieces kept in one worker, also from task to task; the table is emptied when full, so memory stays bounded.
+CACHE_PIECES = 800_000
 #: White space other than the space and the line end.
 OTHER_SPACE = regex.compile(r"[^\S \n]")
 
@@ -286,10 +287,12 @@ def packed(ids: list[int]) -> bytes:
 
 
 class PieceEncoder:
-    """Encodes whole texts through a bounded table of pieces; `fill` gives the ids of pieces that are not in it."""
+    """Encodes whole texts through a bounded table of pieces.
 
-    def __init__(self, fill, added: dict[str, int], whole=None):
-        self.fill, self.whole, self.kept = fill, whole or (lambda t: chain.from_iterable(fill([t]))), {}
+    fill: the packed ids of each of some pieces, which begin with their only white space; whole: the ids of any text."""
+
+    def __init__(self, fill, added: dict[str, int], whole):
+        self.fill, self.whole, self.kept = fill, whole, {}
         self.added = added
         self.mark = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
@@ -322,7 +325,7 @@ class PieceEncoder:
         new = list(set().union(*[p for _, p, _ in runs if p]).difference(kept))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            kept.update(zip(some, map(packed, self.fill([p if p[0] == "\n" else " " + p for p in some]))))
+            kept.update(zip(some, self.fill([p if p[0] == "\n" else " " + p for p in some])))
         out: list[list[bytes]] = [[] for _ in texts]
         for n, p, plain in runs:
             if isinstance(plain, int):
@@ -337,20 +340,19 @@ class PieceEncoder:
         return self.encode_batch([text])[0]
 
 
+@lru_cache(maxsize=1)
 def own_encoder(path: str) -> tuple[Merges, PieceEncoder]:
     merges, words = Merges(path), regex.compile(WORDS)
 
-    def fill(pieces: list[str]) -> list[list[int]]:
+    def fill(pieces: list[str]) -> list[bytes]:
         # Each piece begins with its only white space, so a word with white space in front begins a piece.
-        text = words.findall("".join(pieces)) if all(p[0].isspace() for p in pieces) else None
-        if text is None:
-            return [list(chain.from_iterable(merges.encode_words([w.encode() for w in words.findall(p)]))) for p in pieces]
+        text = words.findall("".join(pieces))
         distinct = list(dict.fromkeys(text))
-        ids = dict(zip(distinct, merges.encode_words([w.encode() for w in distinct])))
-        out: list[list[int]] = []
+        ids = dict(zip(distinct, map(packed, merges.encode_words([w.encode() for w in distinct]))))
+        out: list[bytes] = []
         for w in text:
             if w[0] in " \n":
-                out.append(list(ids[w]))
+                out.append(ids[w])
             else:
                 out[-1] += ids[w]
         return out
