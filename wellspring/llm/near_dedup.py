@@ -6,9 +6,10 @@
    many pairs as it has members. A pair's signatures are compared batch by batch; it is pruned as soon as the posterior
    probability of a similarity at or over the threshold falls below `miss`.
 3. For each text the best surviving candidate is verified exactly on the full sets; the links give first components.
-4. What can still add a link: surviving star pairs between different components, and pairs in buckets that still hold
-   several components. Large buckets of that kind are split by three more signature values, six times over, before pairs
-   are formed, so texts that merely share a passage rarely meet. These pairs go through the same tests.
+4. What can still add a link: surviving star pairs between different components, and pairs of members of buckets that
+   still hold several components. The latter are tested inside tasks of two bounded blocks, never as rows: the sequential test on
+   signatures, then counts on 32-bit sets of whole texts; a task returns only links, one for each two components it joins.
+   All of these are verified exactly.
 5. Components of all verified links by least label and pointer jumping over tables; labels never come to the driver.
 
 At the threshold itself a pair is no candidate in any band with probability (1 - t^r)^b, under 2e-5 for the defaults;
@@ -33,9 +34,8 @@ from .common import documents, map_rows, materialise, maybe_broadcast, small_bat
 
 SHINGLE, THRESHOLD = 5, (75, 100)
 BANDS, ROWS = 43, 5
-#: Buckets with more members than this, in several components, are split before pairs are formed.
-LARGE_BUCKET = 32
-SPLITS = 6
+#: Members of one block; a task compares two blocks.
+BLOCK = 512
 _MIX = np.random.default_rng(2024).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -207,6 +207,108 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def fits(x, y):
+    """Sizes of two sets must be within the threshold of each other for a link to be possible."""
+    return F.lit(THRESHOLD[1]) * F.least(x, y) >= F.lit(THRESHOLD[0]) * F.greatest(x, y)
+
+
+def block_keys(members: DataFrame) -> DataFrame:
+    """members: head, rep, comp. Adds the tasks (kind, i, j) in which a member takes part, and its side there.
+
+    Of each head's members those of the most frequent component are never compared with each other. The others are cut into
+    blocks of BLOCK, and so are those; each block of others meets every block of both kinds once. So a group that is one
+    component but for a few texts costs its size, and no task holds more than two blocks."""
+    by_comp = members.groupBy("head", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = by_comp.groupBy("head").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("m"), F.sum("k").alias("all"))
+    sizes = sizes.filter(F.col("all") > F.col("m")).select(
+        "head", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("n_other")
+    )
+    rows = members.join(sizes, "head").withColumn("in_main", F.col("comp") == F.col("main"))
+    at = F.pmod(F.xxhash64("rep"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_other"))).cast("int")
+    rows = rows.withColumn("at", at)
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    me = F.col("at")
+    mine = F.concat(
+        F.transform(upto(F.col("n_main")), lambda j: task(0, me, j, 0)),
+        F.transform(F.filter(upto(F.col("n_other")), lambda j: j >= me), lambda j: task(1, me, j, 0)),
+        F.transform(F.filter(upto(F.col("n_other")), lambda j: j < me), lambda j: task(1, j, me, 1)),
+    )
+    theirs = F.transform(upto(F.col("n_other")), lambda i: task(0, i, me, 1))
+    return rows.withColumn("t", F.explode(F.when(F.col("in_main"), theirs).otherwise(mine))).select("head", "rep", "comp", "t.kind", "t.i", "t.j", "t.side")
+
+
+class Forest(dict):
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+
+def block_links(reps, comps, sides, sigs, sets, table) -> list[tuple[int, int]]:
+    """Links between different components inside one task: sequential test on the signatures, then counts on 32-bit sets."""
+    first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    if not len(second):
+        second = first  # a block against itself
+    sizes = np.array([len(s) for s in sets])
+    own = np.repeat(np.arange(len(second)), sizes[second])
+    values = np.concatenate([np.zeros(0, dtype=np.uint32), *[sets[k] for k in second]])
+    order = np.argsort(values, kind="stable")
+    values, own = values[order], own[order]
+    forest, out = Forest(), []
+    roots = np.array([forest.find(int(comps[k])) for k in second])
+    for x in first:
+        big, small = np.maximum(sizes[second], sizes[x]), np.minimum(sizes[second], sizes[x])
+        live = np.flatnonzero((roots != forest.find(int(comps[x]))) & (THRESHOLD[1] * small >= THRESHOLD[0] * big))
+        seen, done = np.zeros(len(live), dtype=np.int32), 0
+        for n, worst in table:
+            if not len(live):
+                break
+            seen += (sigs[second[live], done:n] == sigs[x, done:n]).sum(1, dtype=np.int32)
+            keep = seen > worst
+            live, seen, done = live[keep], seen[keep], n
+        if not len(live):
+            continue
+        low, high = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+        count = high - low
+        at = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        both = np.bincount(own[at], minlength=len(second))[live]
+        for k in live[THRESHOLD[1] * both >= THRESHOLD[0] * (sizes[x] + sizes[second[live]] - both)]:
+            a, b = forest.find(int(comps[x])), forest.find(int(comps[second[k]]))
+            if a != b:
+                out.append((int(reps[x]), int(reps[second[k]])))
+                forest[max(a, b)] = min(a, b)
+        roots = np.array([forest.find(int(c)) for c in comps[second]]) if out else roots
+    return out
+
+
+def links_in_blocks(members: DataFrame, sets: DataFrame, docs: DataFrame, total: int, miss: float = 1e-7) -> DataFrame:
+    """Pairs (a, b) of different components among members (head, rep, comp) of one head, to be confirmed on the full sets."""
+    small_batches(docs.sparkSession)
+    ids = members.select("rep").distinct()
+    texts = docs.join(maybe_broadcast(ids), docs["doc_id"] == ids["rep"]).select("rep", "text").dropDuplicates(["rep"])
+
+    def compact(batches):
+        table = WordHashes()
+        for b in batches:
+            short = [np.unique(shingles(t, table).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary())], names=["rep", "words"])
+
+    own = materialise(texts.mapInArrow(compact, "rep long, words binary").join(sets.select("rep", "sig"), "rep"), "open-sets")
+    tasks = block_keys(members).join(own, "rep")
+    table = prune_table(total, 32, THRESHOLD[0] / THRESHOLD[1], miss)
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        column = lambda c: group.column(c).to_numpy()
+        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, total)
+        words = [np.frombuffer(w, dtype=np.uint32) for w in group.column("words").to_pylist()]
+        found = block_links(column("rep"), column("comp"), column("side"), sigs, words, table)
+        return pa.Table.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=kind)
+
+    return tasks.groupBy("head", "kind", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -216,9 +318,6 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     sets = materialise(
         sets.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("band_keys").alias("band_keys")), "distinct-sets"
     )
-    # Sizes must be within the threshold of each other for a link to be possible.
-    fits = lambda x, y: (F.lit(THRESHOLD[1]) * F.least(x, y) >= F.lit(THRESHOLD[0]) * F.greatest(x, y))
-
     banded = sets.select("rep", "n", F.explode("band_keys").alias("key"))
     heads = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "head")
     stars = banded.join(heads, "key").filter((F.col("rep") != F.col("head.rep")) & fits(F.col("n"), F.col("head.n")))
@@ -236,17 +335,9 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     known = materialise(known, "sets-with-components")
     slim = known.select("rep", "comp", F.explode("band_keys").alias("key"))
     open_buckets = slim.groupBy("key").agg(F.min("rep").alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c"))
-    open_buckets = materialise(open_buckets.filter("c > 2 AND low <> high").select("key", "head", F.col("c") > LARGE_BUCKET), "open-buckets").toDF("key", "head", "large")
-    members = known.select("rep", "n", "comp", "sig", F.explode("band_keys").alias("key")).join(maybe_broadcast(open_buckets), "key").filter("rep <> head")
-    # A member of a large bucket gets a key for each split; members of the others keep their one key.
-    keys = F.when(F.col("large"), F.array(*[F.xxhash64("key", F.lit(j), F.substring("sig", (37 * j) % (total - 3) + 1, 3)) for j in range(SPLITS)])).otherwise(F.array("key"))
-    dealt = members.select("rep", "n", "comp", F.explode(keys).alias("key"))
-    left, right = dealt.alias("l"), dealt.alias("r")
-    meet = left.join(
-        right,
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & fits(F.col("l.n"), F.col("r.n")),
-    ).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-    more = bayes_survivors(meet.distinct(), sets, total).select("a", "b")
+    open_buckets = materialise(open_buckets.filter("c > 2 AND low <> high").select("key", "head"), "open-buckets")
+    members = slim.join(maybe_broadcast(open_buckets), "key").filter("rep <> head").select("head", "rep", "comp").distinct()
+    more = links_in_blocks(materialise(members, "open-members"), known, docs, total)
     rest = materialise(apart.unionByName(more).distinct(), "pairs-rest")
     late = materialise(exact_links(rest, docs), "links-late")
     if late.limit(1).count():
