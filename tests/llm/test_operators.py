@@ -264,3 +264,49 @@ def test_rollup_deltas(spark, docs, empty, tmp_path):
     store.commit("three", token_rollup.deleted(bpe_counts))
     store.commit("four", token_rollup.inserted(token_rollup.word_counts(empty)))
     assert read() == {}
+
+
+def test_block_keys_meet_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    r = random.Random(4)
+    rows = [(h, i, r.choice([0, 0, 0, i, 100 + i])) for h in (1, 2) for i in range(20)]
+    got = near_dedup.block_keys(spark.createDataFrame(rows, "head long, rep long, comp long")).collect()
+    tasks = {}
+    for x in got:
+        tasks.setdefault((x["head"], x["kind"], x["i"], x["j"]), ([], []))[x["side"]].append(x)
+    met = {}
+    for (h, *_), (a, b) in tasks.items():
+        pairs = {frozenset((x.rep, y.rep)) for x in a for y in (b or a) if x.rep != y.rep and x.comp != y.comp}
+        for p in pairs:
+            met[h, p] = met.get((h, p), 0) + 1
+    want = {(h, frozenset((i, j))) for h, i, c in rows for g, j, d in rows if h == g and i != j and c != d}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against what its operator is defined to keep, on a small corpus; the last against the library."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(21)
+    good = [(i, "\n".join(prose(r, r.randint(8, 30)) + "." for _ in range(r.randint(1, 6))), "en", r.choice(["s", "t"]), 0) for i in range(60)]
+    bad = [(i, " ".join(w.upper() + "!!" for w in prose(r, 60).split()), "en", "s", 0) for i in range(60, 90)]
+    copies = [(i + 200, good[i][1], "en", "t", 0) for i in range(5)]
+    rows = [(i, t, g, s, len(t)) for i, t, g, s, _ in good + bad + copies]
+    spark.createDataFrame(rows, KIND).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {x.doc_id: x for x in docs.collect()}
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        kept[name] = {x.doc_id: x for x in docs.collect()}
+        assert set(kept[name]) <= set(before)
+        if name != "bpe":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert set(kept["quality classifier"]) == {i for i, *_ in good + copies}
+    assert all(kept["line dedup"][i].text == t for i, t, *_ in good) and all(x.n_chars == len(x.text) for x in kept["line dedup"].values())
+    _, comp = brute_components([(i, x.text) for i, x in kept["line dedup"].items()])
+    assert set(kept["near dedup"]) == {i for i, c in comp.items() if i == c}
+    _, enc = bpe.own_encoder(bpe.default_vocabulary())
+    for i, x in kept["bpe"].items():
+        assert x.ids_sha256 == hashlib.sha256(enc.encode(kept["mixing"][i].text).tobytes()).hexdigest()
+    assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(kept["bpe"])

@@ -158,3 +158,28 @@ def test_signatures_estimate_similarity():
     assert len(near_dedup.shingles(" \n", table)) == 0 and len(near_dedup.shingles("É a", table)) == 1
     for n, worst in near_dedup.prune_table(215, 32, 0.75, 1e-7):
         assert worst < 0.75 * n
+
+
+def test_links_in_blocks_against_all_pairs():
+    r = random.Random(6)
+    table, signer = near_dedup.WordHashes(), near_dedup.Signer(43, 5)
+    prune = near_dedup.prune_table(215, 32, 0.75, 1e-7)
+    base = [f"w{i}" for i in range(60)]
+    sets, sigs = [], []
+    for _ in range(40):
+        words = list(base)
+        for _ in range(r.randint(0, 6)):
+            words[r.randrange(60)] = r.choice("abcdefgh")
+        s = near_dedup.shingles(" ".join(words), table)
+        sets.append(np.unique(s.astype(np.uint32)))
+        sigs.append(signer.sign(s).astype(np.uint8))
+    ids, sides = np.arange(40), np.array([0] * 25 + [1] * 15)
+    for side, pairs in ((sides, [(a, b) for a in range(25) for b in range(25, 40)]), (np.zeros(40, dtype=int), [(a, b) for a in range(40) for b in range(40)])):
+        got, want = near_dedup.Forest(), near_dedup.Forest()
+        for forest, links in ((got, near_dedup.block_links(ids, ids, side, np.stack(sigs), sets, prune)), (want, pairs)):
+            for a, b in links:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if a != b and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = forest.find(a), forest.find(b)
+                    forest[max(x, y)] = min(x, y)
+        assert [got.find(i) for i in range(40)] == [want.find(i) for i in range(40)]
