@@ -9,7 +9,7 @@ from wellspring.functions import extract as E
 from wellspring.functions import monographs, stemmer
 from wellspring.functions import text as T
 from wellspring.operators import chunks, fusion, lexical, vector
-from wellspring.plans import catalog, ingest, repertory
+from wellspring.plans import catalog, ingest, ranking
 from wellspring.sources.store import Store, first_wins, last_wins
 
 BOTANICALS = [(1, "Matricaria recutita", ["Chamomile"], "Asteraceae"), (2, "Hypericum perforatum", ["St. John's Wort"], "Hypericaceae"), (3, "Valeriana officinalis", ["Valerian"], "Caprifoliaceae")]
@@ -25,7 +25,7 @@ def base(spark):
     c = spark.createDataFrame([(2, "absolute")], "botanical_id long, severity string")
     d = spark.createDataFrame([(1, "mild"), (3, "severe")], "botanical_id long, interaction_severity string")
     vectors = vector.embed(i.select("id", F.col("normalized_text").alias("text"))).cache()
-    return repertory.Engine(spark, b, i, e, lexical.build_index(i), c, d, vectors)
+    return ranking.Engine(spark, b, i, e, lexical.build_index(i), c, d, vectors)
 
 
 def one(spark, column, text):
@@ -63,7 +63,7 @@ def test_reloaded_index(base, tmp_path):
 
 def test_batch_equals_single_queries(base):
     texts = ["insomnia", "nervous anxiety", '"nervous tension"', "nothing here", "", "anxiety not depression"]
-    for mode in repertory.MODES:
+    for mode in ranking.MODES:
         whole = base.search(base.queries(texts), mode).collect()
         for n, t in enumerate(texts):
             single = base.search(base.queries([t]), mode).collect()
@@ -191,7 +191,7 @@ def test_store_and_ingestion(spark, tmp_path):
     docs = tmp_path / "docs"
     docs.mkdir()
     (docs / "a.md").write_text("# Chamomile\nMatricaria recutita is used.\n\n## Indications\n- Stomach pain\n- Insomnia\n")
-    (docs / "WHO_Vol1.txt").write_text(VOLUME)
+    (docs / "Book_Vol1.txt").write_text(VOLUME)
     store = Store(spark, str(tmp_path / "store"))
     store.initialise()
     store.initialise()
@@ -209,8 +209,8 @@ def test_exports(base, tmp_path):
     ranked = base.repertorize(["insomnia"], mode="lexical").cache()
     import json
 
-    assert json.loads(repertory.export_json(ranked, str(tmp_path / "x.json")))["total_results"] == 2
-    repertory.export_csv(ranked, str(tmp_path / "csv"))
+    assert json.loads(ranking.export_json(ranked, str(tmp_path / "x.json")))["total_results"] == 2
+    ranking.export_csv(ranked, str(tmp_path / "csv"))
     row = base.spark.read.csv(str(tmp_path / "csv"), header=True).orderBy("Rank").first()
     assert row["Latin Binomial"] == "Valeriana officinalis" and row["Score"] == "42.19" and row["Safety Warning"] == "Yes" and row["Evidence"] == "clinical_trial"
-    assert "## 1. Valeriana officinalis" in repertory.export_markdown(ranked, ["insomnia"]) and "Valeriana" in repertory.format_text(ranked)
+    assert "## 1. Valeriana officinalis" in ranking.export_markdown(ranked, ["insomnia"]) and "Valeriana" in ranking.format_text(ranked)

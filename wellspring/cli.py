@@ -8,15 +8,15 @@ import json
 from pyspark.sql import SparkSession
 
 from .operators import lexical, vector
-from .plans import ingest, repertory
+from .plans import ingest, ranking
 from .sources.store import Store
 
 
-def engine(store: Store, index: str) -> repertory.Engine:
+def engine(store: Store, index: str) -> ranking.Engine:
     spark = store.spark
     vectors = f"{index}/vectors"
     have = store._fs.exists(store._path(vectors))
-    return repertory.Engine(
+    return ranking.Engine(
         spark,
         *[store.read(t) for t in ("botanicals", "indications", "edges")],
         lexical.LexicalIndex.load(spark, index),
@@ -46,13 +46,13 @@ def main(argv: list[str] | None = None) -> None:
     sub.add_parser("index")
     a = sub.add_parser("search")
     a.add_argument("query")
-    a.add_argument("--mode", choices=repertory.MODES, default="hybrid")
+    a.add_argument("--mode", choices=ranking.MODES, default="hybrid")
     a.add_argument("--limit", type=int, default=20)
     a.add_argument("--category")
     a = sub.add_parser("repertorize")
     a.add_argument("symptoms")
     a.add_argument("--top", type=int, default=20)
-    a.add_argument("--mode", choices=repertory.MODES, default="hybrid")
+    a.add_argument("--mode", choices=ranking.MODES, default="hybrid")
     a.add_argument("--json")
     a = sub.add_parser("export")
     a.add_argument("path")
@@ -74,9 +74,9 @@ def main(argv: list[str] | None = None) -> None:
             print(f"{r['rank']:>3}. {r['indication_text']}  {r['score']:.4f}  {r['match_type']}")
     elif args.command == "repertorize":
         ranked = engine(store, args.index).repertorize(args.symptoms, args.top, args.mode).persist()
-        print(repertory.format_text(ranked))
+        print(ranking.format_text(ranked))
         if args.json:
-            repertory.export_json(ranked, args.json)
+            ranking.export_json(ranked, args.json)
     elif args.command == "export":
         from pyspark.sql import functions as F
 

@@ -12,7 +12,7 @@ from ..functions import values
 from ..operators import chunks, fusion, lexical, relational, vector
 from ..sources import benchdata as D
 from ..sources.store import first_wins, last_wins
-from . import repertory
+from . import ranking
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -357,8 +357,8 @@ SELECT case_id::BIGINT AS case_id, botanical_id, latin_binomial, total_score, n_
 
 
 def repertorized(spark, sf, hits, cases, evidence=True, n=20):
-    scored = repertory.contributions(hits.join(F.broadcast(cases), "query_id"), D.edges(spark, sf), evidence)
-    ranked = repertory.rank_remedies(scored, n, digits=4)
+    scored = ranking.contributions(hits.join(F.broadcast(cases), "query_id"), D.edges(spark, sf), evidence)
+    ranked = ranking.rank_remedies(scored, n, digits=4)
     b = D.botanicals(spark, sf).select(F.col("id").alias("botanical_id"), "latin_binomial")
     return long_rank(ranked.join(b, "botanical_id").select("case_id", "botanical_id", "latin_binomial", "total_score", "n_matches", "rank"))
 
