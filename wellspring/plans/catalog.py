@@ -471,7 +471,7 @@ def dedupe_first_wins(spark, sf):
 
 @query(D.with_tables("edges") + "SELECT indication_id, botanical_id, weight, source_ref FROM edges")
 def dedupe_last_wins(spark, sf):
-    return last_wins(D.raw_edges(spark, sf), ["indication_id", "botanical_id", "preparation"], ["source_ref", "line"]).select("indication_id", "botanical_id", "weight", "source_ref")
+    return last_wins(D.raw_edges(spark, sf), ["indication_id", "botanical_id", "preparation"], ["source_ref", "line", "weight", "evidence_level"]).select("indication_id", "botanical_id", "weight", "source_ref")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN len(string_split(p_name, ' ')) >= 2 THEN substr(p_name, 1, 1) || '. ' || string_split(p_name, ' ')[2] ELSE p_name END AS short_name FROM part")

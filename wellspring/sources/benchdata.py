@@ -50,7 +50,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         raw_edges(spark, sf_dir)
         .groupBy("indication_id", "botanical_id", "preparation")
-        .agg(F.max_by(F.struct("weight", "evidence_level", "source_ref"), F.struct("source_ref", "line")).alias("e"))
+        .agg(F.max_by(F.struct("weight", "evidence_level", "source_ref"), F.struct("source_ref", "line", "weight", "evidence_level")).alias("e"))
         .select("indication_id", "botanical_id", "preparation", "e.*")
     )
 
@@ -86,7 +86,7 @@ SQL = {
     "contraindications": "SELECT o_orderkey AS id, o_custkey % (SELECT count(*) FROM supplier) AS botanical_id, CASE left(o_orderpriority, 1) WHEN '1' THEN 'absolute' WHEN '2' THEN 'severe' WHEN '3' THEN 'moderate' ELSE 'mild' END AS severity, o_orderstatus AS population FROM orders",
     "interactions": "SELECT event_id AS id, user_id % (SELECT count(*) FROM supplier) AS botanical_id, event_type AS drug_class, CASE WHEN value >= 90 THEN 'severe' WHEN value >= 40 THEN 'moderate' ELSE 'mild' END AS interaction_severity FROM events",
 }
-SQL["edges"] = f"SELECT indication_id, botanical_id, preparation, weight, evidence_level, source_ref FROM (SELECT *, row_number() OVER (PARTITION BY indication_id, botanical_id, preparation ORDER BY source_ref DESC, line DESC) AS rn FROM ({SQL['raw_edges']})) WHERE rn = 1"
+SQL["edges"] = f"SELECT indication_id, botanical_id, preparation, weight, evidence_level, source_ref FROM (SELECT *, row_number() OVER (PARTITION BY indication_id, botanical_id, preparation ORDER BY source_ref DESC, line DESC, weight DESC, evidence_level DESC) AS rn FROM ({SQL['raw_edges']})) WHERE rn = 1"
 
 
 def with_tables(*names: str) -> str:
