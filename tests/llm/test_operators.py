@@ -179,6 +179,48 @@ def test_line_chunks_against_brute_force(spark):
     assert {x.id: x.text for x in line_dedup.without_repeats(frame(spark, rows)).collect()} == want
 
 
+def runs_left(rows, run_words):
+    """By brute force: what each document keeps where every run of run_words words that an earlier document has is removed."""
+    out, before = {}, []
+    for i, t, *_ in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        size = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        for old in before:
+            for a in range(len(lines)):
+                for b in range(len(old)):
+                    n = 0
+                    while a + n < len(lines) and b + n < len(old) and lines[a + n] == old[b + n]:
+                        n += 1
+                    if sum(size[a : a + n]) >= run_words:
+                        gone |= set(range(a, a + n))
+        out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+        before.append(lines)
+    return out
+
+
+def test_line_runs_leave_no_line_untested(spark):
+    r = random.Random(21)
+    # No two lines meet in one chunk, or all do: the runs are removed wherever chunks end.
+    passages = [[prose(r, n) for n in sizes] for sizes in ((4, 8, 17, 23), (9,) * 12, (24, 24, 3, 3), (3, 3, 60, 3, 3), (1,) * 60)]
+    rows = []
+    for i in range(40):
+        lines = [prose(r, r.randint(1, 20)) for _ in range(3)] + passages[i % 5] + [prose(r, r.randint(1, 20)) for _ in range(3)]
+        rows.append((i, "\n".join(lines), "en", "s", 0))
+    rows.append((90, "\n".join(passages[1][:5]), "en", "s", 0))  # 45 words: below the bound
+    want = runs_left(rows, 50)
+    # Chunks alone: with modulus 1 each line is one, none of 25 words is compared.
+    got = {x.id: x for x in line_dedup.without_repeats(frame(spark, rows), modulus=1, long_words=1000, run_words=50).collect()}
+    assert {i: x.text for i, x in got.items()} == want and got[90].text == rows[-1][1]
+    assert all(x.n_removed_lines == x.n_removed == len(passages[i % 5]) for i, x in got.items() if 5 <= i < 40)
+    # The defaults and a join in place of each broadcast leave nothing of a passage either.
+    for limit in (10**6, 0):
+        got = {x.id: x.text.split("\n") for x in line_dedup.without_repeats(frame(spark, rows), run_words=50, limit=limit).collect()}
+        for i in range(5, 40):
+            assert not set(got[i]) & set(passages[i % 5]) and len(got[i]) == 6
+    kept = {x.doc_id: x.text for x in line_dedup.deduplicate(frame(spark, rows)).collect()}
+    assert all(not set(kept[i].split("\n")) & set(passages[i % 5]) for i in range(5, 40))
+
+
 def test_mixing_meets_targets(spark, docs, empty):
     got = mixing.mixed(docs.filter("source IS NOT NULL"), {"source": 0.0, "lang": 1.0, "topic": 1.0}, budget=0.3, sweeps=30).collect()
     total, by = sum(r.n_tokens for r in got), {}

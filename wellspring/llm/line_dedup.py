@@ -1,17 +1,22 @@
-"""Line de-duplication with content-defined chunks of lines, in DataFrame functions only.
+"""Line de-duplication with content-defined chunks of lines and windows of lines, in DataFrame functions only.
 
 Chunks. Every line is hashed; a rolling hash over each line and the one before it ends a chunk where it is 0 modulo
 `modulus`, so boundaries depend on nearby lines alone and survive insertions elsewhere. A line of `long_words` words or
 more is a chunk by itself. Chunks of two lines or more (with `min_words` words), and long lines, are compared over all
-documents; of equal chunks the first by (id, position) stays and the others are removed.
+documents; of equal chunks the first by (id, line) stays and the others are removed.
 
-Plan. Only (128-bit hash, place) is aggregated, with map-side combination, so a chunk that a third of all documents
-share costs one row for each task. The texts of repeated hashes alone are grouped and joined by (hash, text), which
-compares all bytes. The positions to remove go back to the documents by a broadcast when they are few, else by a join on the row key.
+Windows. With `run_words`, so are the shortest windows of two lines or more that start, or end, at each line with words
+and have `run_words` words. A run of lines with so many words that an earlier place has too is exactly covered by the
+windows in it, wherever chunks end: of a line and the run's lines after it, or up to it, one side has enough words, or else
+the window from the run's first line reaches beyond the line. Whether a span is a window depends on its own lines alone.
+
+Plan. Only (hash of the lines' hashes, place) is aggregated, with map-side combination, so a span that a third of all
+documents share costs one row for each task. The texts of repeated hashes alone are grouped and joined by (hash, text),
+which compares all bytes. The lines to remove go back to the documents by a broadcast when they are few, else by a join on the row key.
 
 Defined cases: null text counts as empty and stays null; a document that loses all its words is dropped by `deduplicate`
-(one that had none stays); rows equal in id and text are one document, so they do not remove each other's chunks; a null
-id sorts first; extra columns pass through, whatever their names.
+(one that had none stays); rows equal in id and text are one document, so they do not remove each other's lines; a null
+id sorts first; extra columns pass through, whatever their names. A line is removed only where an equal line stays earlier.
 """
 
 from __future__ import annotations
@@ -19,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, let, materialise, maybe_broadcast
+from .common import BROADCAST_ROWS, WORD, documents, let, materialise, maybe_broadcast
+
+#: Words of a repeated run of lines that is removed wherever chunks end (op2_line_dedup and the pipeline).
+RUN_WORDS = 50
 
 
-def chunks(lines: Column, modulus: int, long_words: int) -> Column:
+def chunks(measured: Column, modulus: int, long_words: int) -> Column:
     """array<struct<pos, first, last, words>>, lines counted from 1."""
-    measured = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
 
     def ends(info: Column) -> Column:
         word = lambda i: F.coalesce(F.get(info, i)["w"], F.lit(0))
@@ -48,6 +55,29 @@ def chunks(lines: Column, modulus: int, long_words: int) -> Column:
     return let(measured, lambda info: let(ends(info), lambda end: spans(info, end)))
 
 
+def windows(measured: Column, run_words: int) -> Column:
+    """array<struct<first, last>>: the shortest windows of run_words words from, and up to, each line with words.
+
+    A window has run_words lines with words at most, so each line costs a bounded look ahead and back."""
+
+    def reach(near: Column) -> Column:
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("pos"))
+        return F.aggregate(near, start, lambda a, x: F.when(a["words"] >= run_words, a).otherwise(F.struct((a["words"] + x["w"]).alias("words"), x["pos"].alias("pos"))))
+
+    def span(first: Column, last: Column, words: Column) -> Column:
+        return F.struct(first.alias("first"), last.alias("last"), words.alias("words"))
+
+    def both(m: Column) -> Column:
+        ahead = F.transform(m, lambda x, i: let(reach(F.slice(m, i + 1, run_words)), lambda e: span(x["pos"], e["pos"], e["words"])))
+        back = lambda i: F.reverse(F.slice(m, F.greatest(i + 2 - run_words, F.lit(1)), F.least(i + 1, F.lit(run_words))))
+        behind = F.transform(m, lambda x, i: let(reach(back(i)), lambda e: span(e["pos"], x["pos"], e["words"])))
+        found = F.filter(F.concat(ahead, behind), lambda s: (s["words"] >= run_words) & (s["last"] > s["first"]))
+        return F.array_distinct(F.transform(found, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+
+    placed = F.transform(measured, lambda x, i: F.struct((i + 1).alias("pos"), x["w"].alias("w")))
+    return let(F.filter(placed, lambda x: x["w"] > 0), both)
+
+
 def part(lines: Column, c: Column) -> Column:
     return F.array_join(F.slice(lines, c["first"], c["last"] - c["first"] + 1), "\n")
 
@@ -55,55 +85,81 @@ def part(lines: Column, c: Column) -> Column:
 def keyed(docs: DataFrame, id_col: str, text_col: str, modulus: int, long_words: int) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
     lines = F.split(text, "\n", -1)
-    return docs.select(
+    measured = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    base = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.xxhash64(text).alias("text_key"), lines.alias("lines")
-    ).withColumn("chunks", chunks(F.col("lines"), modulus, long_words))
+    )
+    return base.withColumn("measured", measured).withColumn("chunks", chunks(F.col("measured"), modulus, long_words))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 2, long_words: int = 25, min_words: int = 10) -> DataFrame:
-    """The chunks to remove: id, text_key, gone (array of positions)."""
+def spans(base: DataFrame, long_words: int, min_words: int, run_words: int | None) -> DataFrame:
+    """id, text_key, lines, s (first, last), h: one row for each chunk and window that is compared."""
+    able = F.filter("chunks", lambda c: (c["words"] >= long_words) | ((c["last"] > c["first"]) & (c["words"] >= min_words)))
+    every = F.transform(able, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last")))
+    if run_words is not None:
+        every = F.array_union(every, windows(F.col("measured"), run_words))
+    h = F.xxhash64(F.transform(F.slice("measured", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1), lambda x: x["h"]))
+    return base.select("id", "text_key", "lines", "measured", F.explode(every).alias("s")).select("id", "text_key", "lines", "s", h.alias("h"))
+
+
+def repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 2, long_words: int = 25, min_words: int = 10, run_words: int | None = None, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The lines to remove: id, text_key, gone (array of line numbers from 1)."""
     base = keyed(docs, id_col, text_col, modulus, long_words)
-    one = F.explode(F.filter("chunks", lambda c: (c["words"] >= long_words) | ((c["last"] > c["first"]) & (c["words"] >= min_words)))).alias("c")
-    found = base.select("id", "text_key", "lines", one).select(
-        F.struct("id", F.col("c.pos").alias("pos"), "text_key").alias("place"), part(F.col("lines"), F.col("c")).alias("chunk")
-    )
-    found = found.withColumn("h", F.unhex(F.md5(F.encode("chunk", "UTF-8"))))
-    seen = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "chunk-hashes")
-    again = found.join(maybe_broadcast(seen), "h", "left_semi")
+    found = spans(base, long_words, min_words, run_words)
+    seen = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "span-hashes")
+    if seen.count() <= limit:
+        again = found.join(F.broadcast(seen), "h", "left_semi")
+    else:
+        # Narrow rows are shuffled, and each document once: not the text of every span.
+        hit = found.select("id", "text_key", "s", "h").join(seen, "h", "left_semi")
+        hit = hit.groupBy(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.collect_set(F.struct("s", "h")).alias("hits"))
+        own = base.select("id", "text_key", "lines").join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")))
+        again = own.select("id", "text_key", "lines", F.explode("hits").alias("x")).select("id", "text_key", "lines", "x.s", "x.h")
+    place = F.struct("id", F.col("s.first").alias("first"), "text_key", F.col("s.last").alias("last"))
+    # Written once, since both sides of the join below read it.
+    again = materialise(again.select("h", place.alias("place"), part(F.col("lines"), F.col("s")).alias("chunk")), "repeated-spans")
     first = again.groupBy("h", "chunk").agg(F.min("place").alias("stays"))
     gone = again.join(first, ["h", "chunk"]).filter(~F.col("place").eqNullSafe(F.col("stays")))
-    return gone.groupBy(F.col("place.id").alias("id"), F.col("place.text_key").alias("text_key")).agg(F.collect_set("place.pos").alias("gone"))
+    by_doc = gone.groupBy(F.col("place.id").alias("id"), F.col("place.text_key").alias("text_key")).agg(F.collect_set(F.struct("place.first", "place.last")).alias("s"))
+    return by_doc.select("id", "text_key", F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["first"], x["last"])))).alias("gone"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 2, long_words: int = 25, min_words: int = 10) -> DataFrame:
-    """One row per input row: row (the input as a struct), id, text (what remains), n_chunks, n_removed, n_removed_lines, emptied."""
-    gone = materialise(repeated_chunks(docs, id_col, text_col, modulus, long_words, min_words), "chunks-to-remove")
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 2, long_words: int = 25, min_words: int = 10, run_words: int | None = None, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """One row per input row: row (the input as a struct), id, text (what remains), n_chunks, n_removed (chunks that lost all lines),
+    n_removed_lines, emptied. Without run_words only chunks are compared."""
+    gone = materialise(repeated_lines(docs, id_col, text_col, modulus, long_words, min_words, run_words, limit), "lines-to-remove")
     size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("places")).first()
     gone = gone.select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone")
-    gone = maybe_broadcast(gone, rows=size["n"] + size["places"])
+    gone = maybe_broadcast(gone, rows=size["n"] + size["places"], limit=limit)
     base = keyed(docs, id_col, text_col, modulus, long_words)
     joined = base.join(gone, base["id"].eqNullSafe(gone["gone_id"]) & (base["text_key"] == gone["gone_key"]), "left")
-    stays = F.filter("chunks", lambda c: ~F.array_contains("gone", c["pos"]))
-    left = F.array_join(F.transform(stays, lambda c: part(F.col("lines"), c)), "\n")
-    lost = F.aggregate(F.filter("chunks", lambda c: F.array_contains("gone", c["pos"])), F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1)
+    stays = F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(1), F.size("lines")), F.col("gone")))
+    joined = joined.withColumn("stays", stays)
+    left = F.array_join(F.transform("stays", lambda i: F.get("lines", i - 1)), "\n")
+    owner = F.flatten(F.transform("chunks", lambda c: F.array_repeat(c["pos"], c["last"] - c["first"] + 1)))
+    whole = let(owner, lambda o: F.size(F.array_distinct(F.transform("stays", lambda i: F.get(o, i - 1)))))
     text = F.col("row").getField(text_col)
     out = joined.select(
         "row",
         "id",
         F.when(F.col("gone").isNull(), text).otherwise(left).alias("text"),
         F.size("chunks").cast("long").alias("n_chunks"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), 0).otherwise(lost).cast("long").alias("n_removed_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("chunks") - whole).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("lines") - F.size("stays")).cast("long").alias("n_removed_lines"),
     )
-    return out.withColumn("emptied", (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD))
+    return out.withColumn("emptied", (F.col("n_removed_lines") > 0) & ~F.col("text").rlike(WORD))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents without repeated chunks, with the input's columns; emptied documents go."""
-    got = without_repeats(docs, id_col, text_col, **params).filter("NOT emptied")
+    """The documents without repeated chunks and runs, with the input's columns; emptied documents go."""
+    got = without_repeats(docs, id_col, text_col, **({"run_words": RUN_WORDS} | params)).filter("NOT emptied")
     return got.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    got = without_repeats(documents(spark, sf_dir).select("doc_id", "text"), run_words=RUN_WORDS)
     return got.select(F.col("id").alias("doc_id"), "n_chunks", "n_removed", "n_removed_lines", "emptied", "text")
