@@ -214,3 +214,17 @@ def test_exports(base, tmp_path):
     row = base.spark.read.csv(str(tmp_path / "csv"), header=True).orderBy("Rank").first()
     assert row["Latin Binomial"] == "Valeriana officinalis" and row["Score"] == "42.19" and row["Safety Warning"] == "Yes" and row["Evidence"] == "clinical_trial"
     assert "## 1. Valeriana officinalis" in ranking.export_markdown(ranked, ["insomnia"]) and "Valeriana" in ranking.format_text(ranked)
+
+
+def test_document_pairs_reach_the_whole_text(spark):
+    import re
+
+    r = random.Random(4)
+    far = " ".join(r.choice(["Rosa canina", "Salvia viridis", "inflammation", "sleeplessness", "x", "ab. Cd"]) for _ in range(80))
+    rows = [(1, "x " * 150 + "Rosa canina " + "y " * 3000 + "restlessness"), (2, far), (3, None), (4, ""), (5, "Rosa canina")]
+    want = []
+    for i, t in rows:
+        names = dict.fromkeys(re.findall(r"\b([A-Z][a-z]+\s+[a-z]+(?:\s+var\.\s+[a-z]+)?)\b", t or ""))
+        want += [(i, a, b) for a in names for b in dict.fromkeys(re.findall("[a-z]{9,}", t or ""))]
+    got = catalog.document_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and (1, "Rosa canina", "restlessness") in want

@@ -579,6 +579,22 @@ def doc_pairs_edges(spark, sf):
     return a.join(b, "doc_id").select("doc_id", "name_a", "name_b")
 
 
+NAMES_SQL = f"list_distinct(regexp_extract_all({ASCII.format('text')}, '{values.DOCUMENT_BINOMIAL}', 1))"
+
+
+@query(f"SELECT doc_id, name_a, unnest(terms) AS name_b FROM (SELECT doc_id, unnest({NAMES_SQL}) AS name_a, list_distinct(regexp_extract_all(text, '[a-z]{{9,}}')) AS terms FROM documents)")
+def doc_pairs_edges_whole(spark, sf):
+    """Names x terms of each whole document: the edge rule of ingestion, of which doc_pairs_edges takes the head only."""
+    return document_pairs(D.read(spark, sf, "documents"))
+
+
+def document_pairs(docs: DataFrame) -> DataFrame:
+    """Both lists lie in the document's row, so pairs need no join."""
+    terms = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), 0))
+    named = docs.select("doc_id", F.explode(E.document_binomials(F.col("text"))).alias("name_a"), terms.alias("terms"))
+    return named.select("doc_id", "name_a", F.explode("terms").alias("name_b"))
+
+
 MONOGRAPH = """# Chamomile
 
 Intro line
