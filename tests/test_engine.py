@@ -228,3 +228,19 @@ def test_document_pairs_reach_the_whole_text(spark):
         want += [(i, a, b) for a in names for b in dict.fromkeys(re.findall("[a-z]{9,}", t or ""))]
     got = catalog.document_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and (1, "Rosa canina", "restlessness") in want
+
+
+def test_extraction_reads_every_document(spark, tmp_path):
+    import duckdb
+
+    texts = [t for t in catalog.SENTENCES] + ["Indicated for  1. Head pain.; used for ANXIETY, used for anxiety", "é" * 300, "", "- 3) plain  text;"] + ["Never use. Meta-analysis. Interacts with digoxin"]
+    rows = [(i, "filler word\n" * 30 + t if i % 2 else t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    least = {"extract_indications": 6, "detect_contraindications": 2, "detect_interactions": 3, "detect_severity": len(rows), "detect_evidence": len(rows), "normalize_indications": len(rows)}
+    for name, n in least.items():
+        df = catalog.QUERIES[f"{name}_documents"](spark, str(tmp_path))
+        got = sorted(map(tuple, df.collect()))
+        want = sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE[f'{name}_documents']})").fetchall())
+        assert got == want and len(got) >= n, name

@@ -595,6 +595,64 @@ def document_pairs(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "name_a", F.explode("terms").alias("name_b"))
 
 
+# ---- the same rules over every document; the sentences above stay as fixed cases
+
+ASCII_LOW = f"lower({ASCII.format('text')})"
+
+
+def sql_matches(patterns: list[str], x: str = "text") -> str:
+    return " || ".join(f"regexp_extract_all({x}, '{p}', 1)" for p in patterns)
+
+
+def sql_clean(x: str) -> str:
+    spaced = f"trim(regexp_replace({x}, '[\\s\\x0B]+', ' ', 'g'))"
+    marked = f"regexp_replace({spaced}, '^[-\\*\\+•‣\\d\\.)\\]]+[\\s\\x0B]*', '')"
+    return f"trim(substr(regexp_replace({marked}, '[.;,]+$', ''), 1, 200))"
+
+
+def sql_standard(x: str) -> str:
+    low = f"lower({ASCII.format(x)})"
+    return "CASE " + " ".join(f"WHEN regexp_matches({low}, '{p}') THEN '{n}'" for p, n in values.NORMALIZATION_RULES) + f" ELSE {sql_clean(x)} END"
+
+
+def found_in(docs: DataFrame, found, name: str) -> DataFrame:
+    return docs.select("doc_id", F.explode(found(F.col("text"))).alias(name))
+
+
+@query(
+    f"WITH r AS (SELECT doc_id, list_filter(list_transform({sql_matches(values.INDICATION_PATTERNS)}, lambda x: {sql_clean('x')}), lambda x: x <> '') AS l FROM documents), "
+    "u AS (SELECT doc_id, unnest(list_filter(l, lambda x, i: NOT list_contains(list_transform(l[1:i - 1], lambda y: lower(y)), lower(x)))) AS x FROM r) "
+    f"SELECT doc_id, {sql_standard('x')} AS indication FROM u"
+)
+def extract_indications_documents(spark, sf):
+    return found_in(D.read(spark, sf, "documents"), E.indications, "indication")
+
+
+@query(f"SELECT doc_id, trim(unnest({sql_matches(values.CONTRAINDICATION_PATTERNS)})) AS contraindication FROM documents")
+def detect_contraindications_documents(spark, sf):
+    return found_in(D.read(spark, sf, "documents"), lambda t: F.transform(E.contraindications(t), lambda c: c["value"]), "contraindication")
+
+
+@query(f"SELECT doc_id, trim(unnest({sql_matches(values.INTERACTION_PATTERNS)})) AS interaction FROM documents")
+def detect_interactions_documents(spark, sf):
+    return found_in(D.read(spark, sf, "documents"), E.interactions, "interaction")
+
+
+@query(f"SELECT doc_id, {rules_sql('text', values.SEVERITY_RULES, repr('moderate'))} AS severity FROM documents")
+def detect_severity_documents(spark, sf):
+    return D.read(spark, sf, "documents").select("doc_id", E.severity(F.col("text")).alias("severity"))
+
+
+@query(f"SELECT doc_id, {EVIDENCE_SQL.replace('lower(text)', ASCII_LOW)} AS level FROM documents")
+def detect_evidence_documents(spark, sf):
+    return D.read(spark, sf, "documents").select("doc_id", E.evidence(F.col("text"))["level"].alias("level"))
+
+
+@query(f"SELECT doc_id, {sql_standard('text')} AS standard FROM documents")
+def normalize_indications_documents(spark, sf):
+    return D.read(spark, sf, "documents").select("doc_id", E.normalize_indication(F.col("text")).alias("standard"))
+
+
 MONOGRAPH = """# Chamomile
 
 Intro line
