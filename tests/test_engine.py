@@ -244,3 +244,46 @@ def test_extraction_reads_every_document(spark, tmp_path):
         got = sorted(map(tuple, df.collect()))
         want = sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE[f'{name}_documents']})").fetchall())
         assert got == want and len(got) >= n, name
+
+
+def test_hybrid_queries_search_vectors(spark):
+    import hashlib
+    import os
+    import re
+
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    P = vector.projection()
+
+    def embedded(text):
+        w = re.sub(r"[^\w\s]", " ", text.lower()).split()
+        v = np.zeros(P.shape[1])
+        for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            v[int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little") % P.shape[1]] += 1
+        v = P @ (v / np.linalg.norm(v))
+        return (v / np.linalg.norm(v)).astype(np.float16).astype(np.float64)
+
+    items = {r.id: embedded(r.normalized_text or r.indication_text) for r in catalog.D.indications(spark, sf).collect()}
+    lex = {(r.query_id, r.id): r for r in catalog.part_hits(spark, sf).collect()}
+    got = {m: catalog.QUERIES[f"fuse_{m}_searched"](spark, sf).collect() for m in ("rrf", "weighted", "interleave")}
+    for q, text in enumerate(catalog.SYMPTOMS):
+        v = embedded(text)
+        cosine = {i: round(float(v @ x / np.linalg.norm(v) / np.linalg.norm(x)), 6) for i, x in items.items()}
+        near = sorted((i for i in cosine if cosine[i] >= 0), key=lambda i: (-cosine[i], i))[:50]
+        vr, lr = {i: n + 1 for n, i in enumerate(near)}, {i: r["rank"] for (p, i), r in lex.items() if p == q}
+        ls = {i: r.score for (p, i), r in lex.items() if p == q}
+        both = set(vr) | set(lr)
+        rrf = {i: (1 / (60 + lr[i]) if i in lr else 0) + (1 / (60 + vr[i]) if i in vr else 0) for i in both}
+        weighted = {i: 0.4 * ls.get(i, 0) + (0.6 * cosine[i] if i in vr else 0) for i in both}
+        for name, want in (("rrf", rrf), ("weighted", weighted)):
+            mine = sorted((r for r in got[name] if r.query_id == q), key=lambda r: r["rank"])
+            assert len(mine) == 20
+            assert all(abs(r.score - s) < 2e-5 for r, s in zip(mine, sorted(want.values(), reverse=True)))
+            assert all(abs(r.score - want[r.id]) < 2e-5 for r in mine)
+        turns = {i: min(2 * (lr[i] - 1) if i in lr else 1 << 30, 2 * (vr[i] - 1) + 1 if i in vr else 1 << 30) for i in both}
+        mine = sorted((r for r in got["interleave"] if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.id for r in mine] == sorted(both, key=lambda i: (turns[i], i))[:20]
+    assert catalog.repertorize_hybrid_searched(spark, sf).count() > 0

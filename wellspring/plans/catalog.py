@@ -301,7 +301,7 @@ def incremental_anti(spark, sf):
     return embeddings(spark, sf).select("id").join(done, "id", "left_anti")
 
 
-# ---- fusion: two lexical rankings of the same queries stand for the two sides
+# ---- fusion: a lexical ranking, and ids near 700 and 1400 in place of vector hits; the *_searched queries below search vectors
 
 SIDES_SQL = f"""{PARTS_SCORED}, lex AS ({sql_top(50)}),
 vs AS (SELECT query_id, id, 1.0 / (1 + abs(id - 700 * (query_id + 1))) AS score FROM items, q),
@@ -344,6 +344,30 @@ def fuse_interleave(spark, sf):
     return long_rank(fusion.interleave(*two_sides(spark, sf), digits=6))
 
 
+def searched(spark, sf, method: str = "rrf", limit: int = 20) -> DataFrame:
+    """The hybrid search of the engine over all indications: BM25, and cosine over embedded texts."""
+    items = D.indications(spark, sf)
+    text = vector.index_text(items["normalized_text"], items["indication_text"])
+    vectors = vector.embed(items.select("id", text.alias("text")))
+    engine = ranking.Engine(spark, D.botanicals(spark, sf), items, D.edges(spark, sf), lexical.build_index(items, PLAIN), vectors=vectors, analysis=PLAIN, fusion_method=method)
+    return long_rank(engine.search(as_queries(spark, SYMPTOMS), "hybrid", limit, digits=6))
+
+
+@query()
+def fuse_rrf_searched(spark, sf):
+    return searched(spark, sf)
+
+
+@query()
+def fuse_weighted_searched(spark, sf):
+    return searched(spark, sf, "weighted")
+
+
+@query()
+def fuse_interleave_searched(spark, sf):
+    return searched(spark, sf, "interleave")
+
+
 # ---- ranking of remedies
 
 
@@ -392,6 +416,11 @@ def repertorize_hybrid(spark, sf):
     return repertorized(spark, sf, fusion.rrf(*two_sides(spark, sf), limit=10, digits=6), own_cases(spark))
 
 
+@query()
+def repertorize_hybrid_searched(spark, sf):
+    return repertorized(spark, sf, searched(spark, sf, limit=10), own_cases(spark))
+
+
 @query(
     f"WITH e AS ({D.SQL['edges']}), g AS (SELECT botanical_id, evidence_level, sum(weight) AS s FROM e GROUP BY ALL) SELECT botanical_id, arg_max(evidence_level, (round(s, 6), CASE evidence_level "
     + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.EVIDENCE_MULTIPLIER.items())
