@@ -112,6 +112,17 @@ def test_formats_are_told_from_words():
     assert secrets.redact(text, found).count("[SECRET]") == 1
 
 
+def test_keys_without_digits_are_found():
+    scan, r = secrets.Scanner(), random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(r.choice(letters) for _ in range(r.randint(20, 48))) for _ in range(200)]
+    for k in keys:
+        base, found = scan.spans(f"left {k} right")
+        assert base == [] and found == [(5, 3, 5 + len(k))]
+    for word in ("internationalization", "some-hyphenated-long-name", "snake_case_identifier", "INTERNATIONALIZATION", "=" * 40, "-" * 40, "+/" * 20):
+        assert scan.spans(f"left {word} right") == ([], [])
+
+
 def test_forward_backward_against_enumeration():
     r = np.random.default_rng(0)
     sizes = np.array([1, 4, 3, 6, 1])

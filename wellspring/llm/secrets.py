@@ -29,9 +29,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A candidate has 16 characters or more of which one is a digit.
+#: A candidate has 16 characters or more of which one is a letter or digit (a ruler holds no key).
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+ALNUM = re.compile(r"[A-Za-z0-9]")
 CLASSES = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "x"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "X"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U"), "_": "_", "-": "-", "+": "+", "/": "/", "=": "=", ".": "."}
 TABLE = str.maketrans(CLASSES)
 
@@ -165,7 +165,7 @@ class Scanner:
         more = [
             (m.start(), 3, m.end())
             for m in CANDIDATE.finditer(text)
-            if DIGIT.search(m[0]) and not any(a <= m.start() and m.end() <= b for a, _, b in base) and self.is_credential(m[0])
+            if ALNUM.search(m[0]) and not any(a <= m.start() and m.end() <= b for a, _, b in base) and self.is_credential(m[0])
         ]
         return base, sorted(base + more)
 
