@@ -127,6 +127,16 @@ def test_quality_rules(docs, empty):
     assert quality_rules.repetition(empty).count() == 0
 
 
+def test_longest_repeat_decides_alone(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    block, short, own = [[word() for _ in range(n)] for n in (1700, 50, 6600)]
+    texts = {1: block + own + block, 2: own, 3: short + own[:400] + short}
+    got = {x.doc_id: x for x in quality_rules.judged(quality_rules.repetition(frame(spark, [(i, " ".join(t), "en", "s", 0) for i, t in texts.items()]))).collect()}
+    assert got[1].longest_repeat == 1700 and got[1].n_covered_words == 3400 and not got[1].base_failed
+    assert {i: x.kept for i, x in got.items()} == {1: False, 2: True, 3: True}
+
+
 def test_classifier_stage(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i != 4), 0) for i in range(1, 60)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     texts, marks = quality_crf.training_rows(docs, labels)

@@ -154,8 +154,9 @@ def repetition(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
 
 
 def judged(
-    counts: DataFrame, max_fraction: float = 0.35, max_longest: int = 60, max_longest_fraction: float = 0.3
+    counts: DataFrame, max_fraction: float = 0.35, max_longest: int = 60, max_longest_fraction: float = 0.1
 ) -> DataFrame:
+    """The limit on the longest repeat decides by itself: given twice it covers twice its fraction, which is well below max_fraction."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     repeats = (F.col("n_covered_words") > max_fraction * F.col("n_words")) | (
         F.col("longest_repeat") > F.greatest(F.lit(float(max_longest)), max_longest_fraction * F.col("n_words"))
