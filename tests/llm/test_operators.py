@@ -318,6 +318,28 @@ def test_rollup_deltas(spark, docs, empty, tmp_path):
     assert read() == {}
 
 
+def test_rollup_query_applies_all_deltas(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(corpus(), KIND).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, signs, commit = spark.read.parquet(str(tmp_path / "documents.parquet")), {}, token_rollup.Rollup.commit
+
+    def noted(self, batch_id, signed):
+        done = commit(self, batch_id, signed)
+        if done:
+            signs[batch_id] = {r.sign: r["count"] for r in signed.groupBy("sign").count().collect()}
+        return done
+
+    monkeypatch.setattr(token_rollup.Rollup, "commit", noted)
+    got = sorted(map(tuple, token_rollup.op9_token_counts(spark, str(tmp_path)).select(*token_rollup.KEYS, "n_docs", "n_tokens").collect()))
+    n = len(corpus())
+    assert {-1: n, 1: n} in signs.values() and {-1: n} in signs.values()
+    want = {}
+    for r in token_rollup.word_counts(docs).unionByName(token_rollup.bpe_counts(docs)).collect():
+        k = (r.source or "(none)", r.lang or "(none)", r.tokenizer_version)
+        a, b = want.get(k, (0, 0))
+        want[k] = (a + 1, b + (r.n_tokens or 0))
+    assert got == sorted((*k, *v) for k, v in want.items())
+
+
 def test_block_keys_meet_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     r = random.Random(4)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, own_encoder
-from .common import fresh_path, documents, map_rows
+from .common import documents, fresh_path, map_rows, materialise
 from .mixing import token_count
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -120,9 +120,18 @@ def bpe_counts(docs: DataFrame, vocabulary: str | None = None, version: str = "b
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load all documents with word counts, add BPE counts, and repeat both commits, which must change nothing."""
+    """All documents by deltas: load word counts, revise all to BPE counts, load the word counts again, delete and re-insert all
+    BPE counts; then repeat every commit, which must change nothing. The totals are those of one load of both counts."""
     docs, store = documents(spark, sf_dir), Rollup(spark, fresh_path(spark, "token-rollup"))
-    batches = {"load-words": inserted(word_counts(docs)), "load-bpe": inserted(bpe_counts(docs))}
+    # Counted once, since several batches read each table.
+    words, tokens = materialise(word_counts(docs), "word-counts"), materialise(bpe_counts(docs), "bpe-counts")
+    batches = {
+        "load-words": inserted(words),
+        "revise-to-bpe": revised(words, tokens),
+        "reload-words": inserted(words),
+        "delete-bpe": deleted(tokens),
+        "reinsert-bpe": inserted(tokens),
+    }
     for batch_id in (*batches, *batches):
         store.commit(batch_id, batches[batch_id])
     return store.totals()
