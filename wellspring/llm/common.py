@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Broadcast only tables of at most this many rows of at most some 64 bytes (checked by a count).
 BROADCAST_ROWS = 1_000_000
+#: Rows of one key that a join leaves together; a key with more is dealt over several salts.
+SALT_ROWS = 256
 #: The white space of every word rule here: space, and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +61,11 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if n <= limit else df
 
 
+def salts(rows: Column) -> Column:
+    """Into how many salts a key with so many rows is dealt."""
+    return F.ceil(rows / SALT_ROWS)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole texts can hold in a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -12,7 +12,7 @@ the window from the run's first line reaches beyond the line. Whether a span is
 
 Plan. Only (hash of the lines' hashes, place) is aggregated, with map-side combination, so a span that a third of all
 documents share costs one row for each task. The texts of repeated hashes alone are grouped and joined by (hash, text),
-which compares all bytes. The lines to remove go back to the documents by a broadcast when they are few, else by a join on the row key.
+which compares all bytes; the rows of a hash that many spans share are salted in that join (`SALT_ROWS` to a salt). The lines to remove go back to the documents by a broadcast when they are few, else by a join on the row key.
 
 Defined cases: null text counts as empty and stays null; a document that loses all its words is dropped by `deduplicate`
 (one that had none stays); rows equal in id and text are one document, so they do not remove each other's lines; a null
@@ -21,13 +21,16 @@ id sorts first; extra columns pass through, whatever their names. A line is remo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, documents, let, materialise, maybe_broadcast
+from .common import BROADCAST_ROWS, WORD, documents, let, materialise, maybe_broadcast, salts
 
 #: Words of a repeated run of lines that is removed wherever chunks end (op2_line_dedup and the pipeline).
 RUN_WORDS = 50
+SPAN, STEP = 1 << 32, 1 << 20
 
 
 def chunks(measured: Column, modulus: int, long_words: int) -> Column:
@@ -55,31 +58,38 @@ def chunks(measured: Column, modulus: int, long_words: int) -> Column:
     return let(measured, lambda info: let(ends(info), lambda end: spans(info, end)))
 
 
-def windows(measured: Column, run_words: int) -> Column:
-    """array<struct<first, last>>: the shortest windows of run_words words from, and up to, each line with words.
+def span(first: Column, last: Column) -> Column:
+    """A span of lines as one long: arrays of longs are made distinct by hashing, arrays of structs by comparing all pairs."""
+    return first.cast("long") * SPAN + last
+
 
-    A window has run_words lines with words at most, so each line costs a bounded look ahead and back."""
+def windows(measured: Column, run_words: int, near: int = 8) -> Column:
+    """array<long> (see span): the shortest windows of run_words words from, and up to, each line with words.
 
-    def reach(near: Column) -> Column:
-        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("pos"))
-        return F.aggregate(near, start, lambda a, x: F.when(a["words"] >= run_words, a).otherwise(F.struct((a["words"] + x["w"]).alias("words"), x["pos"].alias("pos"))))
+    A window has run_words lines with words at most, so each line costs a bounded look ahead and back; most windows end
+    within `near` lines, so those are tried first. The state of a look is words * STEP + lines."""
+    enough = run_words * STEP
 
-    def span(first: Column, last: Column, words: Column) -> Column:
-        return F.struct(first.alias("first"), last.alias("last"), words.alias("words"))
+    def look(part: Callable[[int], Column]) -> Column:
+        reach = lambda k: F.aggregate(part(k), F.lit(0).cast("long"), lambda a, w: F.when(a >= enough, a).otherwise(a + w * STEP + 1))
+        return let(reach(min(near, run_words)), lambda a: F.when(a >= enough, a).otherwise(reach(run_words)))
 
-    def both(m: Column) -> Column:
-        ahead = F.transform(m, lambda x, i: let(reach(F.slice(m, i + 1, run_words)), lambda e: span(x["pos"], e["pos"], e["words"])))
-        back = lambda i: F.reverse(F.slice(m, F.greatest(i + 2 - run_words, F.lit(1)), F.least(i + 1, F.lit(run_words))))
-        behind = F.transform(m, lambda x, i: let(reach(back(i)), lambda e: span(e["pos"], x["pos"], e["words"])))
-        found = F.filter(F.concat(ahead, behind), lambda s: (s["words"] >= run_words) & (s["last"] > s["first"]))
-        return F.array_distinct(F.transform(found, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+    def both(pos: Column, words: Column) -> Column:
+        ahead = lambda i: look(lambda k: F.slice(words, i + 1, k))
+        back = lambda i: look(lambda k: F.reverse(F.slice(words, F.greatest(i + 2 - k, F.lit(1)), F.least(i + 1, F.lit(k)))))
+        lines = lambda a: (a % STEP).cast("int")
+        none = F.lit(0).cast("long")
+        after = F.transform(pos, lambda p, i: let(ahead(i), lambda a: F.when((a >= enough) & (lines(a) > 1), span(p, F.get(pos, i + lines(a) - 1))).otherwise(none)))
+        before = F.transform(pos, lambda p, i: let(back(i), lambda a: F.when((a >= enough) & (lines(a) > 1), span(F.get(pos, i + 1 - lines(a)), p)).otherwise(none)))
+        return F.filter(F.array_union(after, before), lambda s: s > 0)
 
-    placed = F.transform(measured, lambda x, i: F.struct((i + 1).alias("pos"), x["w"].alias("w")))
-    return let(F.filter(placed, lambda x: x["w"] > 0), both)
+    counted = F.transform(measured, lambda x: x["w"].cast("long"))
+    filled = F.filter(F.transform(measured, lambda x, i: F.when(x["w"] > 0, i + 1).otherwise(0)), lambda p: p > 0)
+    return let(counted, lambda c: let(filled, lambda pos: let(F.filter(c, lambda w: w > 0), lambda words: both(pos, words))))
 
 
-def part(lines: Column, c: Column) -> Column:
-    return F.array_join(F.slice(lines, c["first"], c["last"] - c["first"] + 1), "\n")
+def part(lines: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(lines, first, last - first + 1), "\n")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, modulus: int, long_words: int) -> DataFrame:
@@ -93,13 +103,22 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, modulus: int, long_words:
 
 
 def spans(base: DataFrame, long_words: int, min_words: int, run_words: int | None) -> DataFrame:
-    """id, text_key, lines, s (first, last), h: one row for each chunk and window that is compared."""
+    """id, text_key, lines, first, last, h: one row for each chunk and window that is compared.
+
+    Spans are hashed inside the document's row, so that what is exploded and shuffled has no array of the whole text."""
     able = F.filter("chunks", lambda c: (c["words"] >= long_words) | ((c["last"] > c["first"]) & (c["words"] >= min_words)))
-    every = F.transform(able, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last")))
+    every = F.transform(able, lambda c: span(c["first"], c["last"]))
     if run_words is not None:
         every = F.array_union(every, windows(F.col("measured"), run_words))
-    h = F.xxhash64(F.transform(F.slice("measured", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1), lambda x: x["h"]))
-    return base.select("id", "text_key", "lines", "measured", F.explode(every).alias("s")).select("id", "text_key", "lines", "s", h.alias("h"))
+
+    def hashed(hashes: Column) -> Column:
+        h = lambda first, last: F.xxhash64(F.slice(hashes, first, last - first + 1))
+        one = lambda first, last: F.struct(first.alias("first"), last.alias("last"), h(first, last).alias("h"))
+        return F.transform(every, lambda s: one(F.shiftright(s, 32).cast("int"), s.bitwiseAND(F.lit(SPAN - 1)).cast("int")))
+
+    found = base.select("id", "text_key", "lines", let(F.transform("measured", lambda x: x["h"]), hashed).alias("spans"))
+    # The plain explode would have its whole array computed once more, in a filter on the array's size below it.
+    return found.select("id", "text_key", "lines", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL").select("id", "text_key", "lines", "s.first", "s.last", "s.h")
 
 
 def repeated_lines(
@@ -108,20 +127,22 @@ def repeated_lines(
     """The lines to remove: id, text_key, gone (array of line numbers from 1)."""
     base = keyed(docs, id_col, text_col, modulus, long_words)
     found = spans(base, long_words, min_words, run_words)
-    seen = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "span-hashes")
+    seen = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "span-hashes")
     if seen.count() <= limit:
-        again = found.join(F.broadcast(seen), "h", "left_semi")
+        again = found.join(F.broadcast(seen), "h")
     else:
         # Narrow rows are shuffled, and each document once: not the text of every span.
-        hit = found.select("id", "text_key", "s", "h").join(seen, "h", "left_semi")
-        hit = hit.groupBy(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.collect_set(F.struct("s", "h")).alias("hits"))
+        hit = found.select("id", "text_key", "first", "last", "h").join(seen, "h")
+        hit = hit.groupBy(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.collect_set(F.struct("first", "last", "h", "n")).alias("hits"))
         own = base.select("id", "text_key", "lines").join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")))
-        again = own.select("id", "text_key", "lines", F.explode("hits").alias("x")).select("id", "text_key", "lines", "x.s", "x.h")
-    place = F.struct("id", F.col("s.first").alias("first"), "text_key", F.col("s.last").alias("last"))
+        again = own.select("id", "text_key", "lines", F.explode("hits").alias("x")).select("id", "text_key", "lines", "x.first", "x.last", "x.h", "x.n")
+    place = F.struct("id", "first", "text_key", "last")
     # Written once, since both sides of the join below read it.
-    again = materialise(again.select("h", place.alias("place"), part(F.col("lines"), F.col("s")).alias("chunk")), "repeated-spans")
-    first = again.groupBy("h", "chunk").agg(F.min("place").alias("stays"))
-    gone = again.join(first, ["h", "chunk"]).filter(~F.col("place").eqNullSafe(F.col("stays")))
+    again = again.select("h", place.alias("place"), salts(F.col("n")).alias("salts"), part(F.col("lines"), F.col("first"), F.col("last")).alias("chunk"))
+    again = materialise(again, "repeated-spans").withColumn("salt", F.pmod(F.xxhash64("place"), F.col("salts")))
+    first = again.groupBy("h", "chunk").agg(F.min("place").alias("stays"), F.max("salts").alias("salts"))
+    first = first.select("h", "chunk", "stays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    gone = again.join(first, ["h", "salt", "chunk"]).filter(~F.col("place").eqNullSafe(F.col("stays")))
     by_doc = gone.groupBy(F.col("place.id").alias("id"), F.col("place.text_key").alias("text_key")).agg(F.collect_set(F.struct("place.first", "place.last")).alias("s"))
     return by_doc.select("id", "text_key", F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["first"], x["last"])))).alias("gone"))
 
