@@ -3,7 +3,8 @@
 Plan. One narrow pass hashes every normalised text; only (hash, count, smallest id) is aggregated, with
 map-side combination, so a group with a third of all rows costs one row for each task. Rows whose hash is
 unique leave without any shuffle of text. Texts of repeated hashes only are grouped by (hash, text): the
-equality of group and join keys is a comparison of all bytes, so a collision splits the group.
+equality of group and join keys is a comparison of all bytes, so a collision splits the group. In that join the
+rows of a large group are dealt over salts (`SALT_ROWS` rows to a salt), each of which gets the group's one summed row.
 
 Defined cases: null text counts as empty; empty texts are equal to each other; rows that share one doc_id
 are one document (all of them stay if it is the smallest id of the group); a null doc_id sorts last and
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, materialise, maybe_broadcast
+from .common import SPACE, documents, materialise, maybe_broadcast, salts
 
 
 def normalised(text: Column) -> Column:
@@ -27,16 +28,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), normalised(docs[text_col]).alias("norm_text")
     ).withColumn("h", F.unhex(F.md5(F.encode("norm_text", "UTF-8"))))
-    repeated = materialise(
-        base.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "exact-hashes"
-    )
+    repeated = materialise(base.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", salts(F.col("n")).alias("salts")), "exact-hashes")
     hot = maybe_broadcast(repeated)
     alone = base.join(hot, "h", "left_anti").select(
         "row", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "norm_text"
     )
-    members = base.join(hot, "h", "left_semi")
-    exact = members.groupBy("h", "norm_text").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    copies = members.join(exact, ["h", "norm_text"]).select(
+    members = base.join(hot, "h").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    exact = members.groupBy("h", "norm_text").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("salts").alias("salts"))
+    exact = exact.select("h", "norm_text", "keep_id", "group_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    copies = members.join(exact, ["h", "salt", "norm_text"]).select(
         "row", "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "norm_text"
     )
     return alone.unionByName(copies)
