@@ -343,8 +343,8 @@ def test_rollup_query_applies_all_deltas(spark, tmp_path, monkeypatch):
 def test_block_keys_meet_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     r = random.Random(4)
-    rows = [(h, i, r.choice([0, 0, 0, i, 100 + i])) for h in (1, 2) for i in range(20)]
-    got = near_dedup.block_keys(spark.createDataFrame(rows, "head long, rep long, comp long")).collect()
+    rows = [(h, i, r.choice([0, 0, 0, i, 100 + i]), 10 + 90_000 * (h == 2)) for h in (1, 2) for i in range(20)]
+    got = near_dedup.block_keys(spark.createDataFrame(rows, "head long, rep long, comp long, n long")).collect()
     tasks = {}
     for x in got:
         tasks.setdefault((x["head"], x["kind"], x["i"], x["j"]), ([], []))[x["side"]].append(x)
@@ -353,7 +353,7 @@ def test_block_keys_meet_each_pair_once(spark, monkeypatch):
         pairs = {frozenset((x.rep, y.rep)) for x in a for y in (b or a) if x.rep != y.rep and x.comp != y.comp}
         for p in pairs:
             met[h, p] = met.get((h, p), 0) + 1
-    want = {(h, frozenset((i, j))) for h, i, c in rows for g, j, d in rows if h == g and i != j and c != d}
+    want = {(h, frozenset((i, j))) for h, i, c, _ in rows for g, j, d, _ in rows if h == g and i != j and c != d}
     assert set(met) == want and set(met.values()) == {1}
 
 

@@ -8,7 +8,7 @@
 3. For each text the best surviving candidate is verified exactly on the full sets; the links give first components.
 4. What can still add a link: surviving star pairs between different components, and pairs of members of buckets that
    still hold several components. The latter are tested inside tasks of two bounded blocks, never as rows: the sequential test on
-   signatures, then counts on 32-bit sets of whole texts; a task returns only links, one for each two components it joins.
+   signatures, then exact counts on the full sets; a task returns only links, one for each two components it joins.
    All of these are verified exactly.
 5. Components of all verified links by least label and pointer jumping over tables; labels never come to the driver.
 
@@ -34,8 +34,8 @@ from .common import documents, map_rows, materialise, maybe_broadcast, small_bat
 
 SHINGLE, THRESHOLD = 5, (75, 100)
 BANDS, ROWS = 43, 5
-#: Members of one block; a task compares two blocks.
-BLOCK = 512
+#: Members of one block, and about the most shingles; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 _MIX = np.random.default_rng(2024).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -213,17 +213,24 @@ def fits(x, y):
 
 
 def block_keys(members: DataFrame) -> DataFrame:
-    """members: head, rep, comp. Adds the tasks (kind, i, j) in which a member takes part, and its side there.
+    """members: head, rep, comp, n (shingles). Adds the tasks (kind, i, j) in which a member takes part, and its side there.
 
     Of each head's members those of the most frequent component are never compared with each other. The others are cut into
-    blocks of BLOCK, and so are those; each block of others meets every block of both kinds once. So a group that is one
-    component but for a few texts costs its size, and no task holds more than two blocks."""
-    by_comp = members.groupBy("head", "comp").agg(F.count(F.lit(1)).alias("k"))
-    sizes = by_comp.groupBy("head").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("m"), F.sum("k").alias("all"))
-    sizes = sizes.filter(F.col("all") > F.col("m")).select(
-        "head", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("n_other")
+    blocks of BLOCK members or BLOCK_SHINGLES shingles, and so are those; each block of others meets every block of both kinds
+    once. So a group that is one component but for a few texts costs its size, and no task holds more than two blocks."""
+    by_comp = members.groupBy("head", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    sizes = by_comp.groupBy("head").agg(
+        F.max_by(F.struct("comp", "k", "s"), F.struct("k", "comp")).alias("most"), F.sum("k").alias("k"), F.sum("s").alias("s")
     )
-    rows = members.join(sizes, "head").withColumn("in_main", F.col("comp") == F.col("main"))
+    parts = lambda k, s: F.ceil(F.greatest(k / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.filter(F.col("k") > F.col("most.k")).select(
+        "head",
+        F.col("most.comp").alias("main"),
+        parts(F.col("most.k"), F.col("most.s")).alias("n_main"),
+        parts(F.col("k") - F.col("most.k"), F.col("s") - F.col("most.s")).alias("n_other"),
+    )
+    # Read back, so that the rows of a large head are split by Spark where the sizes are too many to be broadcast.
+    rows = members.join(maybe_broadcast(materialise(sizes, "open-sizes")), "head").withColumn("in_main", F.col("comp") == F.col("main"))
     at = F.pmod(F.xxhash64("rep"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_other"))).cast("int")
     rows = rows.withColumn("at", at)
     task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
@@ -246,13 +253,13 @@ class Forest(dict):
 
 
 def block_links(reps, comps, sides, sigs, sets, table) -> list[tuple[int, int]]:
-    """Links between different components inside one task: sequential test on the signatures, then counts on 32-bit sets."""
+    """Links between different components inside one task: sequential test on the signatures, then counts on the full sets."""
     first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     if not len(second):
         second = first  # a block against itself
     sizes = np.array([len(s) for s in sets])
     own = np.repeat(np.arange(len(second)), sizes[second])
-    values = np.concatenate([np.zeros(0, dtype=np.uint32), *[sets[k] for k in second]])
+    values = np.concatenate([np.zeros(0, dtype=np.uint64), *[sets[k] for k in second]])
     order = np.argsort(values, kind="stable")
     values, own = values[order], own[order]
     forest, out = Forest(), []
@@ -283,7 +290,7 @@ def block_links(reps, comps, sides, sigs, sets, table) -> list[tuple[int, int]]:
 
 
 def links_in_blocks(members: DataFrame, sets: DataFrame, docs: DataFrame, total: int, miss: float = 1e-7) -> DataFrame:
-    """Pairs (a, b) of different components among members (head, rep, comp) of one head, to be confirmed on the full sets."""
+    """Pairs (a, b) of different components among members (head, rep, comp, n) of one head that meet the threshold."""
     small_batches(docs.sparkSession)
     ids = members.select("rep").distinct()
     texts = docs.join(maybe_broadcast(ids), docs["doc_id"] == ids["rep"]).select("rep", "text").dropDuplicates(["rep"])
@@ -291,7 +298,7 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, docs: DataFrame, total:
     def compact(batches):
         table = WordHashes()
         for b in batches:
-            short = [np.unique(shingles(t, table).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
+            short = [shingles(t, table).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary())], names=["rep", "words"])
 
     own = materialise(texts.mapInArrow(compact, "rep long, words binary").join(sets.select("rep", "sig"), "rep"), "open-sets")
@@ -302,7 +309,7 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, docs: DataFrame, total:
     def run(group: pa.Table) -> pa.Table:
         column = lambda c: group.column(c).to_numpy()
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, total)
-        words = [np.frombuffer(w, dtype=np.uint32) for w in group.column("words").to_pylist()]
+        words = [np.frombuffer(w, dtype=np.uint64) for w in group.column("words").to_pylist()]
         found = block_links(column("rep"), column("comp"), column("side"), sigs, words, table)
         return pa.Table.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=kind)
 
@@ -333,10 +340,10 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
 
     known = sets.join(label, F.col("rep") == F.col("node"), "left").select("rep", "n", "sig", "band_keys", F.coalesce("component", "rep").alias("comp"))
     known = materialise(known, "sets-with-components")
-    slim = known.select("rep", "comp", F.explode("band_keys").alias("key"))
+    slim = known.select("rep", "comp", "n", F.explode("band_keys").alias("key"))
     open_buckets = slim.groupBy("key").agg(F.min("rep").alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c"))
     open_buckets = materialise(open_buckets.filter("c > 2 AND low <> high").select("key", "head"), "open-buckets")
-    members = slim.join(maybe_broadcast(open_buckets), "key").filter("rep <> head").select("head", "rep", "comp").distinct()
+    members = slim.join(maybe_broadcast(open_buckets), "key").filter("rep <> head").select("head", "rep", "comp", "n").distinct()
     more = links_in_blocks(materialise(members, "open-members"), known, docs, total)
     rest = materialise(apart.unionByName(more).distinct(), "pairs-rest")
     late = materialise(exact_links(rest, docs), "links-late")
