@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder, default_vocabulary
-from .common import documents, fresh_path, map_rows, small_batches
+from .common import documents, fresh_path, map_rows, releasing, small_batches
 
 #: Fixed values of the zstandard formats.
 SEEK_MAGIC, SKIPPABLE, SKIPPABLE_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
@@ -172,7 +172,7 @@ def write_token_files(
         if out:
             yield close()
 
-    return ranged.mapInArrow(write, "file_no int, path string, n_docs long, n_tokens long")
+    return ranged.mapInArrow(releasing(write), "file_no int, path string, n_docs long, n_tokens long")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(releasing(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:

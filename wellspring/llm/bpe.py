@@ -33,7 +33,7 @@ from .common import documents, map_rows
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in one worker, also from task to task; the table is emptied when full, so memory stays bounded.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 #: White space other than the space and the line end.
 OTHER_SPACE = regex.compile(r"[^\S \n]")
 

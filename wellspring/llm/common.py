@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -73,6 +75,27 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Give back to the system what a finished task has freed: idle workers stay, and share the executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, with the memory of the task released at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def map_rows(df: DataFrame, rows: Callable[[list[tuple]], list[tuple]], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
     """Arrow map: `rows(batch)` or, with setup, `rows(state, batch)` turns lists of tuples into lists of tuples."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -91,4 +114,4 @@ def map_rows(df: DataFrame, rows: Callable[[list[tuple]], list[tuple]], schema:
             cols = list(zip(*out)) if out else [[]] * len(kind)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, kind)], schema=kind)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)

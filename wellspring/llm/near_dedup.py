@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, materialise, maybe_broadcast, small_batches
+from .common import documents, map_rows, materialise, maybe_broadcast, releasing, small_batches
 
 SHINGLE, THRESHOLD = 5, (75, 100)
 BANDS, ROWS = 43, 5
@@ -41,7 +41,7 @@ _MIX = np.random.default_rng(2024).integers(1, 2**63, SHINGLE + 1, dtype=np.uint
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys])))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), lists], schema=kind)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary, band_keys array<long>")
+    return docs.mapInArrow(releasing(run), "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary, band_keys array<long>")
 
 
 def prune_table(total: int, batch: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -156,7 +156,7 @@ def bayes_survivors(pairs: DataFrame, sets: DataFrame, total: int, batch: int =
             if len(live):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(live)), b.column(1).take(pa.array(live)), pa.array(seen[live], pa.int32())], schema=kind)
 
-    return joined.mapInArrow(run, "a long, b long, matches int")
+    return joined.mapInArrow(releasing(run), "a long, b long, matches int")
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, docs: DataFrame, total:
             short = [shingles(t, table).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary())], names=["rep", "words"])
 
-    own = materialise(texts.mapInArrow(compact, "rep long, words binary").join(sets.select("rep", "sig"), "rep"), "open-sets")
+    own = materialise(texts.mapInArrow(releasing(compact), "rep long, words binary").join(sets.select("rep", "sig"), "rep"), "open-sets")
     tasks = block_keys(members).join(own, "rep")
     table = prune_table(total, 32, THRESHOLD[0] / THRESHOLD[1], miss)
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -213,7 +213,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
     import pyarrow as pa
 
-    from .common import small_batches
+    from .common import releasing, small_batches
 
     small_batches(docs.sparkSession)
     at, kind = docs.columns.index("text"), to_arrow_schema(docs.schema)
@@ -223,7 +223,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
             texts = [t or "" for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, kind)], schema=kind).filter(pa.array(model.score(texts) >= threshold, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
