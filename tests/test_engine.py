@@ -109,6 +109,22 @@ def test_hash_buckets_and_embeddings(spark):
     assert vector.incremental(have, items).count() == 4
 
 
+def test_top_k_against_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(4)]) for i in range(300)] + [(300, None)]
+    asked = [(q, [float(r.randint(-2, 2)) for _ in range(4)]) for q in range(9)] + [(9, [0.0] * 4)]
+    vectors, queries = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3), spark.createDataFrame(asked, "query_id long, vector array<float>")
+    want = []
+    for q, x in asked[:9]:
+        scored = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in rows[:300])
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(scored[:7]) if -s >= 1.0] if any(x) else []
+    for block in (4096, 2):
+        monkeypatch.setattr(vector, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vector, "ROW_BLOCK", 50)
+        assert sorted(map(tuple, vector.top_k(vectors, queries, 7, 1.0, digits=5).select("query_id", "id", "score", "rank").collect())) == sorted(want)
+    assert vector.top_k(vectors.filter("id < 0"), queries, 7).count() == 0 and vector.top_k(vectors, queries.filter("query_id > 8"), 7).count() == 0
+
+
 def test_text_functions(spark):
     assert one(spark, lambda c: T.tokens(c, stem=False), "The chronic anxiety, disorder's") == ["chronic", "anxiety", "disorder's", "chronic_anxiety", "anxiety_disorder's"]
     assert {"sleeplessness", "sleep disorder", "insomnia"} <= set(one(spark, lambda c: T.expand_synonyms(F.array(c)), "insomnia"))
@@ -237,12 +253,15 @@ def test_extraction_reads_every_document(spark, tmp_path):
     rows = [(i, "filler word\n" * 30 + t if i % 2 else t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    parts = [(1, "cold ring", "PROMO TIN", "Brand#1"), (2, "low mood", "insomnia", "warfarin")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    for t in ("documents", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     least = {"extract_indications": 6, "detect_contraindications": 2, "detect_interactions": 3, "detect_severity": len(rows), "detect_evidence": len(rows), "normalize_indications": len(rows)}
     for name, n in least.items():
-        df = catalog.QUERIES[f"{name}_documents"](spark, str(tmp_path))
+        df = catalog.QUERIES[name](spark, str(tmp_path))
         got = sorted(map(tuple, df.collect()))
-        want = sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE[f'{name}_documents']})").fetchall())
+        want = sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE[name]})").fetchall())
         assert got == want and len(got) >= n, name
 
 

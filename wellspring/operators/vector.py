@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import tempfile
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import text as T
 from ..functions import values
 
+#: Queries that one pass over the vectors serves, and vectors of one matrix product.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+
 
 @lru_cache(maxsize=4)
 def projection(dim: int = values.VECTOR_DIM, buckets: int = values.HASH_BUCKETS, seed: int = values.VECTOR_SEED) -> np.ndarray:
@@ -60,14 +67,54 @@ def incremental(vectors: DataFrame, items: DataFrame, since=None, text: str = "t
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, min_score: float = 0.0, digits: int | None = None) -> DataFrame:
-    """query_id, id, score, rank. queries: query_id, vector, a stated set of queries that is broadcast in blocks.
+    """query_id, id, score, rank. queries: query_id, vector, a stated set of queries.
 
-    Every vector is scored against each query where it lies; each task keeps its k best of each query by a bounded
-    aggregate, so what is shuffled grows with queries x tasks, not with vectors.
+    The queries go to the workers in blocks of at most QUERY_BLOCK rows. Each task scores its vectors against a block by one
+    matrix product for each batch and keeps the k best of each query, so what is shuffled is queries x tasks x k rows, never
+    pairs. Ties go to the smaller id; null vectors and queries of zeros have no hits.
     """
     q = queries.select("query_id", F.col("vector").alias("q")).filter(F.exists("q", lambda x: x != 0))
-    score = T.cosine(F.col("vector"), F.col("q"))
-    s = F.round(score, digits) if digits is not None else score
-    pairs = vectors.crossJoin(F.broadcast(q)).select("query_id", "id", s.alias("score")).filter(F.col("score") >= min_score)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    kind = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    found, best, spark = vectors.select("id", "vector").filter("vector IS NOT NULL"), [], vectors.sparkSession
+    if blocks > 1 and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wellspring-"))
+    for n in range(blocks):
+        one = found.mapInArrow(best_of(q.filter(at == n).toArrow(), k, min_score, digits, kind), kind)
+        best.append(one.checkpoint() if blocks > 1 else one)  # the driver holds one block of queries at a time
+    ranked = reduce(DataFrame.unionByName, best).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k)
+
+
+def best_of(block: pa.Table, k: int, min_score: float, digits: int | None, kind: str):
+    """For mapInArrow over (id, vector): the k best of each query of the block."""
+    ids = block.column("query_id")
+    q = np.array(block.column("q").to_pylist(), dtype=np.float64)
+    schema = to_arrow_schema(_parse_datatype_string(kind))
+
+    def run(batches):
+        kept: list[pa.Table] = []
+        for b in batches if len(q) else ():
+            for start in range(0, b.num_rows, ROW_BLOCK):
+                part = b.slice(start, ROW_BLOCK)
+                v = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(part.num_rows, -1)
+                s = q @ v.T
+                s = np.round(s, digits) if digits is not None else s
+                least = np.partition(s, -k, axis=1)[:, [-k]] if k < s.shape[1] else min_score
+                who, col = np.nonzero(s >= np.maximum(least, min_score))
+                found = pa.table([ids.take(pa.array(who)), part.column(0).take(pa.array(col)), pa.array(s[who, col])], schema=schema)
+                kept = [first_k(pa.concat_tables([*kept, found]), k)]
+        for t in kept:
+            yield from t.to_batches()
+
+    return run
+
+
+def first_k(hits: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query: by score, then by id."""
+    hits = hits.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
+    who = hits.column("query_id").to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, dtype=int)
+    place = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
+    return hits.filter(pa.array(place < k))

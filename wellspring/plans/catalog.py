@@ -301,19 +301,22 @@ def incremental_anti(spark, sf):
     return embeddings(spark, sf).select("id").join(done, "id", "left_anti")
 
 
-# ---- fusion: a lexical ranking, and ids near 700 and 1400 in place of vector hits; the *_searched queries below search vectors
+# ---- fusion of BM25 over all indications with cosine over all rows of `embeddings`, taken as the vectors of the ids they name;
+# the *_searched queries below embed the indications' own texts instead, which SQL can't state
 
+QUERY_VECTORS = 100  # query n is the vector of id 100 * (n + 1)
 SIDES_SQL = f"""{PARTS_SCORED}, lex AS ({sql_top(50)}),
-vs AS (SELECT query_id, id, 1.0 / (1 + abs(id - 700 * (query_id + 1))) AS score FROM items, q),
-vec AS ({sql_top(50, 'vs')}),
+vs AS (SELECT query_id, a.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS score FROM q JOIN embeddings b ON b.vec_id = {QUERY_VECTORS} * (query_id + 1), embeddings a),
+near AS (SELECT * FROM vs WHERE score >= 0),
+vec AS ({sql_top(50, 'near')}),
 side AS (SELECT coalesce(lex.query_id, vec.query_id) AS query_id, coalesce(lex.id, vec.id) AS id, lex.rank AS lr, vec.rank AS vr, lex.score AS ls, vec.score AS vsc FROM lex FULL JOIN vec ON lex.query_id = vec.query_id AND lex.id = vec.id)
 """
 
 
 def two_sides(spark, sf):
-    near = D.indications(spark, sf).select("id").crossJoin(F.broadcast(spark.range(len(SYMPTOMS)).withColumnRenamed("id", "query_id")))  # a stated set of two queries
-    near = near.withColumn("score", 1.0 / (1 + F.abs(F.col("id") - 700 * (F.col("query_id") + 1))))
-    return part_hits(spark, sf), lexical.top(near, 50, digits=6).select("query_id", "id", "score", "rank")
+    own = spark.range(len(SYMPTOMS)).select(F.col("id").alias("query_id"), (QUERY_VECTORS * (F.col("id") + 1)).alias("vec_id"))
+    queries = embeddings(spark, sf).join(F.broadcast(own), F.col("id") == F.col("vec_id")).select("query_id", "vector")  # a stated set of two queries
+    return part_hits(spark, sf), vector.top_k(embeddings(spark, sf), queries, 50, digits=5)
 
 
 def fused_sql(score: str, kind: str, order: str = "round(score, 6) DESC, coalesce(lr, 50 + vr), id") -> str:
@@ -525,8 +528,14 @@ def export_csv_projection(spark, sf):
     return repertorize_lexical(spark, sf).select("rank", "latin_binomial", F.format_string("%.2f", "total_score").alias("score"), "n_matches")
 
 
+@query(f"SELECT rank, to_json({{'rank': rank, 'botanical_id': botanical_id, 'latin_binomial': latin_binomial, 'total_score': total_score, 'n_matches': n_matches}})::VARCHAR AS row_json FROM ({repertorize_sql(cases=ONE_CASE)})")
+def export_json_rows(spark, sf):
+    return repertorize_lexical(spark, sf).select("rank", F.to_json(F.struct("rank", "botanical_id", "latin_binomial", "total_score", "n_matches")).alias("row_json"))
+
+
 # ---- extraction
 
+#: Cases for the tests: the tables hardly have such sentences.
 SENTENCES = [
     "Traditionally used for anxiety and sleeplessness. Contraindicated in pregnancy and lactation.",
     "Indicated for head pain; a randomized controlled trial showed effect. May interact warfarin strongly.",
@@ -535,11 +544,6 @@ SENTENCES = [
     "Hypericum perforatum and H. perforatum, Hypericum perforatum var. angustifolium. See Figure 1 in the Appendix.",
     "Absolute contraindication. Laboratory study of cell culture.",
 ]
-SENTENCES_SQL = "(VALUES " + ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(SENTENCES)) + ") AS s(id, text)"
-
-
-def sentences_df(spark):
-    return spark.createDataFrame(list(enumerate(SENTENCES)), "id int, text string")
 
 
 def rules_sql(x: str, rules: dict, default: str = "NULL") -> str:
@@ -556,26 +560,6 @@ def extract_binomials(spark, sf):
     return D.read(spark, sf, "documents").select("doc_id", F.explode(E.document_binomials(F.col("text"))).alias("name"))
 
 
-@query()
-def extract_indications(spark, sf):
-    return sentences_df(spark).select("id", F.explode(E.indications(F.col("text"))).alias("indication"))
-
-
-@query("SELECT id, trim(unnest(" + " || ".join(f"regexp_extract_all(text, '{p}', 1)" for p in values.CONTRAINDICATION_PATTERNS) + f")) AS contraindication FROM {SENTENCES_SQL}")
-def detect_contraindications(spark, sf):
-    return sentences_df(spark).select("id", F.explode(E.contraindications(F.col("text"))).alias("c")).select("id", F.col("c.value").alias("contraindication"))
-
-
-@query("SELECT id, trim(unnest(" + " || ".join(f"regexp_extract_all(text, '{p}', 1)" for p in values.INTERACTION_PATTERNS) + f")) AS interaction FROM {SENTENCES_SQL}")
-def detect_interactions(spark, sf):
-    return sentences_df(spark).select("id", F.explode(E.interactions(F.col("text"))).alias("interaction"))
-
-
-@query(f"SELECT id, {rules_sql('text', values.SEVERITY_RULES, repr('moderate'))} AS severity FROM {SENTENCES_SQL}")
-def detect_severity(spark, sf):
-    return sentences_df(spark).select("id", E.severity(F.col("text")).alias("severity"))
-
-
 @query(f"SELECT doc_id, {rules_sql('text', values.CATEGORY_RULES)} AS category FROM documents")
 def categorize(spark, sf):
     return D.read(spark, sf, "documents").select("doc_id", E.categorize(F.col("text")).alias("category"))
@@ -584,36 +568,17 @@ def categorize(spark, sf):
 EVIDENCE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{level}'" for level, p in values.EVIDENCE_PATTERNS) + " ELSE 'traditional' END"
 
 
-@query(f"SELECT id, {EVIDENCE_SQL} AS level FROM {SENTENCES_SQL}")
-def detect_evidence(spark, sf):
-    return sentences_df(spark).select("id", E.evidence(F.col("text"))["level"].alias("level"))
-
-
-@query(f"SELECT id, CASE {' '.join(f'WHEN regexp_matches(lower(text), {chr(39)}{p}{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for p, n in values.NORMALIZATION_RULES)} END AS standard FROM {SENTENCES_SQL} WHERE id < 3")
-def normalize_indications(spark, sf):
-    return sentences_df(spark).filter("id < 3").select("id", E.normalize_indication(F.col("text")).alias("standard"))
-
-
 @query()
 def chunk_documents(spark, sf):
     return chunks.chunk(D.read(spark, sf, "documents"))
 
 
-@query("SELECT a.doc_id, a.name AS name_a, b.name AS name_b FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(" + ASCII.format("left(text, 200)") + ", '" + values.DOCUMENT_BINOMIAL + "', 1))) AS name FROM documents) a JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(left(text, 100), '[a-z]{9,}'))) AS name FROM documents) b USING (doc_id)")
-def doc_pairs_edges(spark, sf):
-    """Names x terms of the head of each document: the edge rule of ingestion."""
-    d = D.read(spark, sf, "documents")
-    a = d.select("doc_id", F.explode(E.document_binomials(F.substring("text", 1, 200))).alias("name_a"))
-    b = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 100), F.lit("[a-z]{9,}"), 0))).alias("name_b"))
-    return a.join(b, "doc_id").select("doc_id", "name_a", "name_b")
-
-
 NAMES_SQL = f"list_distinct(regexp_extract_all({ASCII.format('text')}, '{values.DOCUMENT_BINOMIAL}', 1))"
 
 
 @query(f"SELECT doc_id, name_a, unnest(terms) AS name_b FROM (SELECT doc_id, unnest({NAMES_SQL}) AS name_a, list_distinct(regexp_extract_all(text, '[a-z]{{9,}}')) AS terms FROM documents)")
-def doc_pairs_edges_whole(spark, sf):
-    """Names x terms of each whole document: the edge rule of ingestion, of which doc_pairs_edges takes the head only."""
+def doc_pairs_edges(spark, sf):
+    """Names x terms of each whole document: the edge rule of ingestion."""
     return document_pairs(D.read(spark, sf, "documents"))
 
 
@@ -624,8 +589,6 @@ def document_pairs(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "name_a", F.explode("terms").alias("name_b"))
 
 
-# ---- the same rules over every document; the sentences above stay as fixed cases
-
 ASCII_LOW = f"lower({ASCII.format('text')})"
 
 
@@ -644,42 +607,53 @@ def sql_standard(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({low}, '{p}') THEN '{n}'" for p, n in values.NORMALIZATION_RULES) + f" ELSE {sql_clean(x)} END"
 
 
+#: A note for every row of part joins the documents, which hold hardly a trigger phrase.
+NOTE = ["Traditionally used for ", "p_name", ". Contraindicated in ", "p_type", ". May interact ", "p_brand", " strongly; avoid.\n- Indicated for ", "p_type", "\n"]
+NOTES_SQL = "(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - p_partkey AS doc_id, " + " || ".join(x if x.startswith("p_") else "'" + x.replace("\n", "' || chr(10) || '") + "'" for x in NOTE) + " AS text FROM part)"
+
+
+def noted(spark, sf) -> DataFrame:
+    note = F.concat(*[F.col(x) if x.startswith("p_") else F.lit(x) for x in NOTE])
+    notes = D.read(spark, sf, "part").select((-1 - F.col("p_partkey")).alias("doc_id"), note.alias("text"))
+    return D.read(spark, sf, "documents").select("doc_id", "text").unionByName(notes)
+
+
 def found_in(docs: DataFrame, found, name: str) -> DataFrame:
     return docs.select("doc_id", F.explode(found(F.col("text"))).alias(name))
 
 
 @query(
-    f"WITH r AS (SELECT doc_id, list_filter(list_transform({sql_matches(values.INDICATION_PATTERNS)}, lambda x: {sql_clean('x')}), lambda x: x <> '') AS l FROM documents), "
+    f"WITH r AS (SELECT doc_id, list_filter(list_transform({sql_matches(values.INDICATION_PATTERNS)}, lambda x: {sql_clean('x')}), lambda x: x <> '') AS l FROM " + NOTES_SQL + "), "
     "u AS (SELECT doc_id, unnest(list_filter(l, lambda x, i: NOT list_contains(list_transform(l[1:i - 1], lambda y: lower(y)), lower(x)))) AS x FROM r) "
     f"SELECT doc_id, {sql_standard('x')} AS indication FROM u"
 )
-def extract_indications_documents(spark, sf):
-    return found_in(D.read(spark, sf, "documents"), E.indications, "indication")
+def extract_indications(spark, sf):
+    return found_in(noted(spark, sf), E.indications, "indication")
 
 
-@query(f"SELECT doc_id, trim(unnest({sql_matches(values.CONTRAINDICATION_PATTERNS)})) AS contraindication FROM documents")
-def detect_contraindications_documents(spark, sf):
-    return found_in(D.read(spark, sf, "documents"), lambda t: F.transform(E.contraindications(t), lambda c: c["value"]), "contraindication")
+@query(f"SELECT doc_id, trim(unnest({sql_matches(values.CONTRAINDICATION_PATTERNS)})) AS contraindication FROM " + NOTES_SQL)
+def detect_contraindications(spark, sf):
+    return found_in(noted(spark, sf), lambda t: F.transform(E.contraindications(t), lambda c: c["value"]), "contraindication")
 
 
-@query(f"SELECT doc_id, trim(unnest({sql_matches(values.INTERACTION_PATTERNS)})) AS interaction FROM documents")
-def detect_interactions_documents(spark, sf):
-    return found_in(D.read(spark, sf, "documents"), E.interactions, "interaction")
+@query(f"SELECT doc_id, trim(unnest({sql_matches(values.INTERACTION_PATTERNS)})) AS interaction FROM " + NOTES_SQL)
+def detect_interactions(spark, sf):
+    return found_in(noted(spark, sf), E.interactions, "interaction")
 
 
-@query(f"SELECT doc_id, {rules_sql('text', values.SEVERITY_RULES, repr('moderate'))} AS severity FROM documents")
-def detect_severity_documents(spark, sf):
-    return D.read(spark, sf, "documents").select("doc_id", E.severity(F.col("text")).alias("severity"))
+@query(f"SELECT doc_id, {rules_sql('text', values.SEVERITY_RULES, repr('moderate'))} AS severity FROM " + NOTES_SQL)
+def detect_severity(spark, sf):
+    return noted(spark, sf).select("doc_id", E.severity(F.col("text")).alias("severity"))
 
 
-@query(f"SELECT doc_id, {EVIDENCE_SQL.replace('lower(text)', ASCII_LOW)} AS level FROM documents")
-def detect_evidence_documents(spark, sf):
-    return D.read(spark, sf, "documents").select("doc_id", E.evidence(F.col("text"))["level"].alias("level"))
+@query(f"SELECT doc_id, {EVIDENCE_SQL.replace('lower(text)', ASCII_LOW)} AS level FROM " + NOTES_SQL)
+def detect_evidence(spark, sf):
+    return noted(spark, sf).select("doc_id", E.evidence(F.col("text"))["level"].alias("level"))
 
 
-@query(f"SELECT doc_id, {sql_standard('text')} AS standard FROM documents")
-def normalize_indications_documents(spark, sf):
-    return D.read(spark, sf, "documents").select("doc_id", E.normalize_indication(F.col("text")).alias("standard"))
+@query(f"SELECT doc_id, {sql_standard('text')} AS standard FROM " + NOTES_SQL)
+def normalize_indications(spark, sf):
+    return noted(spark, sf).select("doc_id", E.normalize_indication(F.col("text")).alias("standard"))
 
 
 MONOGRAPH = """# Chamomile
@@ -701,14 +675,55 @@ Intro line
 """
 
 
-@query()
+def written(spark, sf) -> DataFrame:
+    """id, t: a monograph in Markdown for every row of part, since no table holds Markdown."""
+    p = [F.col(c).cast("string") for c in ("p_name", "p_type", "p_brand")]
+    pieces = ["# ", p[0], "\n\nIntro of ", p[0], "\n\n## Indications\n- Mild ", p[0], " pain\n* ", p[1], "\n1. ", p[2], " cough\n- no\n\n## Contraindications\n- Avoid ", p[0], "\n- Never with ", p[1], "\n\n## Safety Notes\n+ Caution: ", p[2], "\n"]
+    return D.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in pieces]).alias("t"))
+
+
+def written_sql(rows: list[tuple[str, str]], columns: str, rules: str) -> str:
+    """rows: (text of a bullet as SQL, name of its section)."""
+    parts = " UNION ALL ".join(f"SELECT p_partkey AS id, {text} AS text, '{section}' AS section FROM part" for text, section in rows)
+    return f"SELECT {columns}, {rules} FROM ({parts}) WHERE length(text) > 3"
+
+
+@query("SELECT p_partkey AS id, p_name AS title, unnest([p_name, 'indications', 'contraindications', 'safety notes']) AS section, unnest([length('Intro of ' || p_name), length('- Mild ' || p_name || ' pain' || chr(10) || '* ' || p_type || chr(10) || '1. ' || p_brand || ' cough' || chr(10) || '- no'), length('- Avoid ' || p_name || chr(10) || '- Never with ' || p_type), length('+ Caution: ' || p_brand)])::INT AS size FROM part")
+def markdown_sections(spark, sf):
+    got = written(spark, sf).select("id", E.markdown_title(F.col("t")).alias("title"), F.explode(E.sections(F.col("t"))).alias("s"))
+    return got.select("id", "title", F.col("s.name").alias("section"), F.length("s.content").alias("size"))
+
+
+@query(written_sql([("'Mild ' || p_name || ' pain'", "indications"), ("p_type", "indications"), ("p_brand || ' cough'", "indications")], "id, text, section", f"{rules_sql('text', values.DOCUMENT_CATEGORY_RULES)} AS category"))
 def markdown_indications(spark, sf):
-    return spark.createDataFrame([(MONOGRAPH,)], "t string").select(F.explode(E.markdown_indications(F.col("t"))).alias("i")).select("i.text", "i.section", "i.category")
+    return written(spark, sf).select("id", F.explode(E.markdown_indications(F.col("t"))).alias("i")).select("id", "i.text", "i.section", "i.category")
 
 
-@query()
+@query(written_sql([("'Avoid ' || p_name", "c"), ("'Never with ' || p_type", "c"), ("'Caution: ' || p_brand", "s")], "id, text", f"{rules_sql('text', values.DOCUMENT_SEVERITY_RULES, repr('mild'))} AS severity"))
 def markdown_safety(spark, sf):
-    return spark.createDataFrame([(MONOGRAPH,)], "t string").select(F.explode(E.markdown_safety(F.col("t"))).alias("i")).select("i.text", "i.severity")
+    return written(spark, sf).select("id", F.explode(E.markdown_safety(F.col("t"))).alias("i")).select("id", "i.text", "i.severity")
+
+
+SENTENCES_OF = "regexp_replace(regexp_replace(regexp_replace(text, '\\(\\d+[–\\-]?\\d*\\)', '', 'g'), '\\n+', ' ', 'g'), '([.!?])[\\s\\x0B]+', '\\1' || chr(1), 'g')"
+
+
+@query(f"SELECT doc_id, unnest(list_filter(list_transform(string_split({SENTENCES_OF}, chr(1)), lambda x: trim(x)), lambda x: length(x) > 10)) AS sentence FROM documents")
+def split_sentences(spark, sf):
+    return found_in(D.read(spark, sf, "documents"), E.sentences, "sentence")
+
+
+MARKED_SQL = " OR ".join(f"contains(lower(x), '{m}')" for m in values.INDICATION_MARKERS)
+
+
+def sql_unmarked(x: str) -> str:
+    for mark in ("-", "*", "•", "‣"):
+        x = f"list_transform({x}, lambda x: CASE WHEN starts_with(x, '{mark}') THEN trim(substr(x, 2)) ELSE x END)"
+    return x
+
+
+@query(f"SELECT doc_id, unnest(list_filter({sql_unmarked(f'list_transform(list_filter(string_split(text, chr(10)), lambda x: {MARKED_SQL}), lambda x: trim(x))')}, lambda x: length(x) > 10 AND length(x) < 200)) AS line FROM " + NOTES_SQL)
+def text_indications(spark, sf):
+    return found_in(noted(spark, sf), E.text_indications, "line")
 
 
 @query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS n_lines, substr(trim(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')[1]), 1, 100) AS title FROM documents")
