@@ -36,6 +36,8 @@ from .common import documents, fresh_path, map_rows, releasing, small_batches
 #: Fixed values of the zstandard formats.
 SEEK_MAGIC, SKIPPABLE, SKIPPABLE_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 NULL_ID = -(2**63)
+#: More than the default: a call of the library costs more than a look-up.
+KEPT_PIECES = 800_000
 
 
 @lru_cache(maxsize=1)
@@ -62,7 +64,7 @@ def library_encoder(path: str) -> PieceEncoder:
         data = ids.tobytes()
         return [data[4 * i : 4 * j + 4] for i, j in zip([0, *[c + 1 for c in cuts[:-1]]], cuts)]
 
-    return PieceEncoder(fill, added, lambda t: tok.encode(t, add_special_tokens=False).ids)
+    return PieceEncoder(fill, added, lambda t: tok.encode(t, add_special_tokens=False).ids, KEPT_PIECES)
 
 
 def frame(ids: np.ndarray, dtype: str, packer: zstandard.ZstdCompressor) -> tuple[bytes, int, int]:

@@ -291,8 +291,8 @@ class PieceEncoder:
 
     fill: the packed ids of each of some pieces, which begin with their only white space; whole: the ids of any text."""
 
-    def __init__(self, fill, added: dict[str, int], whole):
-        self.fill, self.whole, self.kept = fill, whole, {}
+    def __init__(self, fill, added: dict[str, int], whole, most: int = CACHE_PIECES):
+        self.fill, self.whole, self.kept, self.most = fill, whole, {}, most
         self.added = added
         self.mark = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
@@ -320,7 +320,7 @@ class PieceEncoder:
             if at < len(text):
                 runs.append((n, self.pieces(part := text[at:] if at else text), part))
         kept = self.kept
-        if len(kept) > CACHE_PIECES:
+        if len(kept) > self.most:
             kept.clear()
         new = list(set().union(*[p for _, p, _ in runs if p]).difference(kept))
         for i in range(0, len(new), 20_000):
