@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,21 @@ from . import values
 from .stemmer import stemmed
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and hand it to `body` (a lambda variable is not re-evaluated)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def runs(tokens: Column, name: str = "term") -> Column:
+    """array<struct<name, n>>: the distinct tokens of a row in order, and how often each occurs. Counted inside the row, so nothing is shuffled."""
+
+    def of(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(a, i).alias(name), (F.coalesce(F.get(s, k + 1), F.size(a)) - i).alias("n"))))
+
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), of))
+
+
 def words(text: Column, stopwords: list[str] | None = values.STOPWORDS) -> Column:
     """Lower-case words of letters, digits, underscore and inner apostrophes, without stop words."""
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s']", " ")
@@ -40,10 +57,11 @@ def synonym_map(synonyms: dict[str, list[str]] = values.SYNONYMS) -> dict[str, l
 
 def expand_synonyms(tokens: Column, synonyms: dict[str, list[str]] = values.SYNONYMS) -> Column:
     """The distinct tokens and their synonyms. A map literal: the dictionary is a constant of the plan."""
-    pairs = [x for k, vs in synonym_map(synonyms).items() for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]))]
-    table = F.create_map(*pairs)
-    added = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(table, t), F.array().cast("array<string>"))))
-    return F.array_distinct(F.concat(tokens, added))
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pairs = [f"{quoted(k)}, array({', '.join(map(quoted, vs))})" for k, vs in synonym_map(synonyms).items()]
+    table = F.expr(f"map({', '.join(pairs)})")  # parsed in one call: a literal each is slow to build
+    added = lambda ts: F.flatten(F.transform(ts, lambda t: F.coalesce(F.element_at(table, t), F.array().cast("array<string>"))))
+    return let(tokens, lambda ts: F.array_distinct(F.concat(ts, added(ts))))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -54,8 +72,7 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 def features(text: Column) -> Column:
     """Words and word pairs for hashing: no stop words, no stems."""
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " ")
-    w = F.filter(F.split(clean, r"\s+"), lambda x: x != "")
-    return F.concat(w, bigrams(w, " "))
+    return let(F.filter(F.split(clean, r"\s+"), lambda x: x != ""), lambda w: F.concat(w, bigrams(w, " ")))
 
 
 def bucket(token: Column, buckets: int = values.HASH_BUCKETS) -> Column:

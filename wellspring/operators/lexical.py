@@ -1,6 +1,6 @@
 """Lexical search: an inverted index as tables, and BM25 or TF-IDF scoring of a table of queries.
 
-Index. Each field of a row is a document of its own: postings (term, id, tf, field) with tf = 0.5 + 0.5 * count / largest
+Index. Each field of a row is a document of its own: postings (term, id, tf, field, length) with tf = 0.5 + 0.5 * count / largest
 count, one idf for each term from the number of ids, and as length of an id that of its last indexed field.
 Queries are rows, so a batch is one plan: terms join the postings, sums shuffle by (query, id), and ranks come from a
 window per query after the sums.
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values
 from ..functions.stemmer import stemmed
+from .relational import spread
+
+#: Terms of a table of queries that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 FIELDS = (("normalized", "normalized_text", True), ("text", "indication_text", True), ("category", "category", False))
 
@@ -41,10 +45,11 @@ class Analysis:
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # term, id, tf, field
+    postings: DataFrame  # term, id, tf, field, length (of the id)
     terms: DataFrame  # term, df, idf, n_postings
     lengths: DataFrame  # id, length
     stats: DataFrame  # one row: n_docs, avg_length
+    counted: DataFrame | None = None  # the cached rows that a new index comes from
 
     def save(self, path: str) -> None:
         """Postings are clustered by term, so that a query's terms touch few files."""
@@ -57,32 +62,68 @@ class LexicalIndex:
         """length_mode "zero" gives every id length 0, as a reloaded index of the older format has."""
         got = cls(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "lengths", "stats")])
         if length_mode == "zero":
-            got.lengths = got.lengths.withColumn("length", F.lit(0).cast("long"))
+            none = F.lit(0).cast("long")
+            got.lengths, got.postings = got.lengths.withColumn("length", none), got.postings.withColumn("length", none)
         return got
 
+    def idf_of(self, wanted: DataFrame) -> DataFrame:
+        """term, idf of the wanted terms (distinct). A new index counts only these, in place of its whole vocabulary."""
+        if self.counted is None:
+            return self.terms.join(wanted, "term", "left_semi").select("term", "idf")
+        few = self.postings.select("term", "id").join(wanted, "term", "left_semi").groupBy("term").agg(F.countDistinct("id").alias("df"))
+        return few.crossJoin(F.broadcast(self.stats.select("n_docs"))).select("term", idf("n_docs", "df").alias("idf"))  # one row
+
+    def release(self) -> None:
+        """Drop the cached rows of a new index."""
+        if self.counted is not None:
+            self.counted.unpersist()
+
 
-def field_documents(items: DataFrame, analysis: Analysis, fields=FIELDS) -> DataFrame:
-    """id, field, ord, tokens: one row for each non-empty field."""
-    parts = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("ord"), F.col(c).alias("text"), F.lit(full).alias("full")) for i, (n, c, full) in enumerate(fields) if c in items.columns]
-    rows = items.select("id", F.explode(F.array(*parts)).alias("f")).select("id", "f.*").filter("text <> ''")
-    rows, words = analysis.with_words(rows, F.col("text"), "words"), F.col("words")
-    return rows.withColumn("tokens", F.when(F.col("full"), analysis.document(words, True)).otherwise(analysis.document(words, False))).select("id", "field", "ord", "tokens")
+def field_counts(items: DataFrame, analysis: Analysis, fields=FIELDS) -> DataFrame:
+    """id, fields: for each non-empty field of a row its name, number of tokens, largest count, and counted terms."""
+    used = [(i, n, c, full) for i, (n, c, full) in enumerate(fields) if c in items.columns]
+    df = spread(items.select("id", *[F.col(c).alias(f"text_{i}") for i, _, c, _ in used]))
+    for i, _, _, _ in used:
+        df = analysis.with_words(df, F.col(f"text_{i}"), f"words_{i}")
+    df = df.select("*", *[analysis.document(F.col(f"words_{i}"), full).alias(f"tokens_{i}") for i, _, _, full in used])
+    none = F.array().cast("array<struct<term:string,n:int>>")
+    df = df.select("*", *[F.coalesce(T.runs(F.col(f"tokens_{i}")), none).alias(f"counts_{i}") for i, _, _, _ in used])
+    top = lambda i: F.array_max(F.transform(f"counts_{i}", lambda c: c["n"]))
+    one = lambda i, n: F.struct(F.lit(n).alias("field"), F.size(f"tokens_{i}").cast("long").alias("size"), top(i).alias("top"), F.col(f"counts_{i}").alias("counts"))
+    return df.select("id", F.filter(F.array(*[F.when(F.col(f"text_{i}") != "", one(i, n)) for i, n, _, _ in used]), lambda f: f.isNotNull()).alias("fields"))
+
+
+def exploded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """keep, and the members of the array's structs. The plain explode would have its whole array computed again, in a filter on its size."""
+    return df.select(*keep, F.explode_outer(array).alias("x")).filter("x IS NOT NULL").select(*keep, "x.*")
 
 
 def build_index(items: DataFrame, analysis: Analysis | None = None, fields=FIELDS, stats: str = "field") -> LexicalIndex:
-    """stats "field": each field counts as a document; "document": each id does."""
-    docs = field_documents(items, analysis or Analysis(), fields).persist()  # four tables come from it
-    spread = docs.select("id", "field", F.explode("tokens").alias("term"))
-    counts = spread.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("n"))
-    top = F.max("n").over(Window.partitionBy("id", "field"))
-    postings = counts.select("term", "id", (F.lit(0.5) + F.lit(0.5) * F.col("n") / top).alias("tf"), "field")
-    lengths = docs.groupBy("id").agg(F.max_by(F.size("tokens"), "ord").cast("long").alias("length"))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs")) if stats == "field" else docs.agg(F.countDistinct("id").alias("n_docs"))
-    one = n.crossJoin(lengths.agg(F.sum("length").alias("total")))  # two single rows
+    """stats "field": each field counts as a document; "document": each id does.
+
+    Ids are unique, as in every table of the store, so a row's terms are counted inside the row and postings need no shuffle;
+    only the terms' document frequencies do, with map-side combination."""
+    docs = field_counts(items, analysis or Analysis(), fields).persist()  # four tables come from it
+    last = F.element_at("fields", -1)["size"]
+
+    def entry(f: Column) -> Column:
+        return F.transform(f["counts"], lambda c: F.struct(c["term"].alias("term"), (F.lit(0.5) + F.lit(0.5) * c["n"] / f["top"]).alias("tf"), f["field"].alias("field")))
+
+    filled = docs.filter(F.size("fields") > 0).withColumn("length", last)
+    postings = exploded(filled, F.flatten(F.transform("fields", entry)), "id", "length").select("term", "id", "tf", "field", "length")
+    lengths = filled.select("id", "length")
+    n = F.sum(F.size("fields")) if stats == "field" else F.count(F.lit(1))
+    one = filled.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n_docs"), F.sum("length").alias("total"))
     one = one.select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).otherwise(0.0).alias("avg_length"))
-    terms = postings.groupBy("term").agg(F.countDistinct("id").alias("df"), F.count(F.lit(1)).alias("n_postings"))
+    every = F.flatten(F.transform("fields", lambda f: F.transform(f["counts"], lambda c: c["term"])))
+    mark = lambda a, d, p: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(d).alias("d"), F.lit(p).alias("p")))
+    if len([c for _, c, _ in fields if c in items.columns]) > 1:
+        marks = T.let(every, lambda a: F.concat(mark(F.array_distinct(a), 1, 0), mark(a, 0, 1)))
+    else:
+        marks = mark(every, 1, 1)
+    terms = exploded(filled, marks).groupBy("term").agg(F.sum("d").alias("df"), F.sum("p").alias("n_postings"))
     terms = terms.crossJoin(F.broadcast(one.select("n_docs"))).withColumn("idf", idf("n_docs", "df"))  # one row
-    return LexicalIndex(postings, terms.select("term", "df", "idf", "n_postings"), lengths, one)
+    return LexicalIndex(postings, terms.select("term", "df", "idf", "n_postings"), lengths, one, docs)
 
 
 def idf(n_docs, df) -> Column:
@@ -139,6 +180,11 @@ def fuzzy_terms(wanted: DataFrame, vocabulary: DataFrame, threshold: float, most
     return near.withColumn("r", rank).filter(F.col("r") <= most).select("query_id", "term", "index_term")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast behind a count; beyond it Spark chooses the join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def scores(
     index: LexicalIndex, queries: DataFrame, items: DataFrame, analysis: Analysis | None = None, scoring: str = "bm25", fuzzy: float | None = None, strict_operators: bool = False
 ) -> DataFrame:
@@ -151,9 +197,11 @@ def scores(
     if fuzzy:
         near = fuzzy_terms(wanted, index.terms, fuzzy)
         probe = probe.join(near.withColumnRenamed("index_term", "near"), ["query_id", "term"], "left").withColumn("index_term", F.coalesce("near", "index_term")).drop("near")
+    probe = small(probe)  # the postings are then filtered where they are, without a shuffle
     hits = probe.join(index.postings.withColumnRenamed("term", "index_term"), "index_term")
-    hits = hits.join(index.terms.select("term", "idf"), "term", "left").crossJoin(F.broadcast(index.stats))  # one row
-    hits = hits.withColumn("idf", F.coalesce("idf", idf(F.col("n_docs"), F.lit(0)))).join(index.lengths, "id")
+    hits = hits.join(index.idf_of(small(wanted.select("term").distinct())), "term", "left").crossJoin(F.broadcast(index.stats))  # one row
+    hits = hits.withColumn("idf", F.coalesce("idf", idf(F.col("n_docs"), F.lit(0))))
+    hits = hits if "length" in index.postings.columns else hits.join(index.lengths, "id")
     one = bm25("tf", "idf", "length", "avg_length") if scoring == "bm25" else F.col("tf") * F.col("idf")
     one = one * F.when(F.col("field") == "normalized", values.NORMALIZED_BOOST).otherwise(1.0) * F.when(F.col("must"), values.REQUIRED_BOOST).otherwise(1.0) * F.col("n")
     by_term = hits.groupBy("query_id", "id").agg(F.sum(one).alias("score"), F.collect_set("term").alias("matched"))

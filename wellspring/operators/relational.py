@@ -65,3 +65,13 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """df dealt over all cores by key if it is less than a full split for each core: a small table often is one row group, which
+    one task would read and work on alone. Larger tables have splits enough and are not shuffled."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split else df

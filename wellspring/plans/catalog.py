@@ -228,7 +228,7 @@ def doc_lengths(spark, sf):
 @query(f"SELECT id, to_json(w)::VARCHAR AS words, to_json({sql_pairs('w')})::VARCHAR AS pairs FROM (SELECT doc_id AS id, {sql_words('text')} AS w FROM documents)")
 def tokenize_bigrams(spark, sf):
     w = T.words(F.col("text"))
-    got = text_items(spark, sf).select("id", w.alias("w")).select("id", F.to_json("w").alias("words"), F.to_json(T.bigrams(F.col("w"))).alias("pairs"))
+    got = relational.spread(text_items(spark, sf)).select("id", w.alias("w")).select("id", F.to_json("w").alias("words"), F.to_json(T.bigrams(F.col("w"))).alias("pairs"))
     return got
 
 
@@ -239,7 +239,7 @@ def synonym_expand(spark, sf):
 
 @query()
 def stem_vocabulary(spark, sf):
-    return stemmer.stemmed_vocabulary(text_items(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word")))
+    return stemmer.stemmed_vocabulary(relational.spread(text_items(spark, sf)).select(F.explode(T.words(F.col("text"))).alias("word")))
 
 
 @query("SELECT a.n_name AS name_a, b.n_name AS name_b, levenshtein(a.n_name, b.n_name)::BIGINT AS distance, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
