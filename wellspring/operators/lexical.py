@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from .relational import spread
 
 #: Terms of a table of queries that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Index terms that stand in for one term the index lacks.
+MOST_NEAR = 3
 
 FIELDS = (("normalized", "normalized_text", True), ("text", "indication_text", True), ("category", "category", False))
 
@@ -165,7 +168,7 @@ def query_terms(queries: DataFrame, analysis: Analysis, strict_operators: bool =
     return q.select("query_id", phrases.alias("phrases"), excluded.alias("excluded"), required.alias("required"), F.concat(base, whole).alias("terms"))
 
 
-def fuzzy_terms(wanted: DataFrame, vocabulary: DataFrame, threshold: float, most: int = 3) -> DataFrame:
+def fuzzy_terms(wanted: DataFrame, vocabulary: DataFrame, threshold: float, most: int = MOST_NEAR) -> DataFrame:
     """query_id, term, index_term: for terms the index lacks, its most similar terms (similarity, then term).
 
     Lengths bound the similarity, so terms meet only vocabulary of the lengths that can reach the threshold: an equi-join
@@ -180,9 +183,14 @@ def fuzzy_terms(wanted: DataFrame, vocabulary: DataFrame, threshold: float, most
     return near.withColumn("r", rank).filter(F.col("r") <= most).select("query_id", "term", "index_term")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast behind a count; beyond it Spark chooses the join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def query_table(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """query_id, query. Rows that come as Arrow are a relation of the plan, so the optimizer itself parses a few queries."""
+    return spark.createDataFrame(pa.table({"query_id": pa.array(range(len(texts)), pa.int64()), "query": pa.array(texts, pa.string())}))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of at most so many rows, by a count; beyond the limit Spark chooses the join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def scores(
@@ -197,9 +205,10 @@ def scores(
     if fuzzy:
         near = fuzzy_terms(wanted, index.terms, fuzzy)
         probe = probe.join(near.withColumnRenamed("index_term", "near"), ["query_id", "term"], "left").withColumn("index_term", F.coalesce("near", "index_term")).drop("near")
-    probe = small(probe)  # the postings are then filtered where they are, without a shuffle
+    n = wanted.count()
+    probe = small(probe, n * MOST_NEAR if fuzzy else n)  # the postings are then filtered where they are, without a shuffle
     hits = probe.join(index.postings.withColumnRenamed("term", "index_term"), "index_term")
-    hits = hits.join(index.idf_of(small(wanted.select("term").distinct())), "term", "left").crossJoin(F.broadcast(index.stats))  # one row
+    hits = hits.join(index.idf_of(small(wanted.select("term").distinct(), n)), "term", "left").crossJoin(F.broadcast(index.stats))  # one row
     hits = hits.withColumn("idf", F.coalesce("idf", idf(F.col("n_docs"), F.lit(0))))
     hits = hits if "length" in index.postings.columns else hits.join(index.lengths, "id")
     one = bm25("tf", "idf", "length", "avg_length") if scoring == "bm25" else F.col("tf") * F.col("idf")

@@ -95,17 +95,13 @@ def text_items(spark: SparkSession, sf: str) -> DataFrame:
     return D.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def as_queries(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
-
-
 def long_rank(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
 def part_hits(spark: SparkSession, sf: str, limit: int = 50, scoring: str = "bm25", analysis=PLAIN, texts=SYMPTOMS) -> DataFrame:
     items = D.indications(spark, sf)
-    got = lexical.scores(lexical.build_index(items, analysis), as_queries(spark, texts), items, analysis, scoring)
+    got = lexical.scores(lexical.build_index(items, analysis), lexical.query_table(spark, texts), items, analysis, scoring)
     return long_rank(lexical.top(got, limit, digits=6).select("query_id", "id", "score", "rank"))
 
 
@@ -133,7 +129,7 @@ def search_bm25_documents(spark, sf):
     items = text_items(spark, sf)
     index = lexical.build_index(items, NO_SYNONYMS, TEXT_FIELD)
     with_names = items.select("id", F.col("text").alias("indication_text"), F.lit(None).cast("string").alias("normalized_text"))
-    got = lexical.scores(index, as_queries(spark, TEXT_QUERIES), with_names, NO_SYNONYMS)
+    got = lexical.scores(index, lexical.query_table(spark, TEXT_QUERIES), with_names, NO_SYNONYMS)
     return long_rank(lexical.top(got, 50, digits=6).select("query_id", "id", "score", "rank"))
 
 
@@ -142,7 +138,7 @@ def search_stemmed_documents(spark, sf):
     items, a = text_items(spark, sf), lexical.Analysis()
     index = lexical.build_index(items, a, TEXT_FIELD)
     with_names = items.select("id", F.col("text").alias("indication_text"), F.lit(None).cast("string").alias("normalized_text"))
-    return long_rank(lexical.top(lexical.scores(index, as_queries(spark, TEXT_QUERIES), with_names, a), 50, digits=6).select("query_id", "id", "score", "rank"))
+    return long_rank(lexical.top(lexical.scores(index, lexical.query_table(spark, TEXT_QUERIES), with_names, a), 50, digits=6).select("query_id", "id", "score", "rank"))
 
 
 PHRASE_SQL = PARTS_SCORED + f", phrase AS (SELECT 0 AS query_id, id, 5.0 AS score FROM items WHERE contains(lower(indication_text), 'old ring') OR contains(normalized_text, 'old ring')), both_ AS (SELECT query_id, id, sum(score) AS score FROM (SELECT * FROM scored UNION ALL SELECT * FROM phrase) GROUP BY ALL) {sql_top(50, 'both_')}"
@@ -171,14 +167,14 @@ def search_fts_grammar(spark, sf):
 @query(PARTS_SCORED.replace(sql_queries(SYMPTOMS), sql_queries(["blue widget"])) + f"SELECT t.* FROM ({sql_top(50)}) t JOIN items USING (id) WHERE category = 'promo'")
 def search_category_postlimit(spark, sf):
     items = D.indications(spark, sf)
-    got = lexical.search(lexical.build_index(items, PLAIN), as_queries(spark, ["blue widget"]), items, 50, "promo", digits=6, analysis=PLAIN)
+    got = lexical.search(lexical.build_index(items, PLAIN), lexical.query_table(spark, ["blue widget"]), items, 50, "promo", digits=6, analysis=PLAIN)
     return long_rank(got.select("query_id", "id", "score", "rank"))
 
 
 @query(PARTS_SCORED.replace(sql_queries(SYMPTOMS), sql_queries(["blue widget"])) + ", own AS (SELECT scored.* FROM scored JOIN items USING (id) WHERE category = 'promo') " + sql_top(50, "own"))
 def search_category_pushdown(spark, sf):
     items = D.indications(spark, sf)
-    got = lexical.search(lexical.build_index(items, PLAIN), as_queries(spark, ["blue widget"]), items, 50, "promo", category_pushdown=True, digits=6, analysis=PLAIN)
+    got = lexical.search(lexical.build_index(items, PLAIN), lexical.query_table(spark, ["blue widget"]), items, 50, "promo", category_pushdown=True, digits=6, analysis=PLAIN)
     return long_rank(got.select("query_id", "id", "score", "rank"))
 
 
@@ -196,7 +192,7 @@ fz AS (SELECT 0 AS query_id, post.id, sum(CASE WHEN field = 'normalized' THEN 1.
 )
 def search_fuzzy(spark, sf):
     items = D.indications(spark, sf)
-    got = lexical.search(lexical.build_index(items, NO_SYNONYMS), as_queries(spark, ["widgte"]), items, 50, digits=6, analysis=NO_SYNONYMS, fuzzy=0.6)
+    got = lexical.search(lexical.build_index(items, NO_SYNONYMS), lexical.query_table(spark, ["widgte"]), items, 50, digits=6, analysis=NO_SYNONYMS, fuzzy=0.6)
     return long_rank(got.select("query_id", "id", "score", "rank"))
 
 
@@ -353,7 +349,7 @@ def searched(spark, sf, method: str = "rrf", limit: int = 20) -> DataFrame:
     text = vector.index_text(items["normalized_text"], items["indication_text"])
     vectors = vector.embed(items.select("id", text.alias("text")))
     engine = ranking.Engine(spark, D.botanicals(spark, sf), items, D.edges(spark, sf), lexical.build_index(items, PLAIN), vectors=vectors, analysis=PLAIN, fusion_method=method)
-    return long_rank(engine.search(as_queries(spark, SYMPTOMS), "hybrid", limit, digits=6))
+    return long_rank(engine.search(lexical.query_table(spark, SYMPTOMS), "hybrid", limit, digits=6))
 
 
 @query()

@@ -31,7 +31,7 @@ class Engine:
     fusion_method: str = "rrf"
 
     def queries(self, texts: list[str]) -> DataFrame:
-        return self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+        return lexical.query_table(self.spark, texts)
 
     def search(self, queries: DataFrame, mode: str = "hybrid", limit: int = 20, category: str | None = None, digits: int | None = None, **params) -> DataFrame:
         """query_id, id, score, rank, match_type."""
