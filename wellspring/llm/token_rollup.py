@@ -6,7 +6,8 @@ are sums of signed rows, so they are updated by adding a batch's sums, without r
 
 A batch is committed under its id: its sums are written to a staging folder and renamed to `batches/<id>`; the rename is
 the commit. A batch whose folder is there already changes nothing, so a repeated or restarted commit counts once.
-`compact` replaces many batches by one with the same sums and keeps their ids, so they still can't be committed again.
+`compact` publishes the sums of many batches together with their ids by one rename as well, so a process that ends at any
+point leaves either the old or the new sums, and no batch is counted twice or can be committed again.
 
 Plan. Signed rows are summed with map-side combination (a hot source costs one row for each task); no join of the old
 with the new state is needed, since equal rows of both cancel out.
@@ -42,7 +43,7 @@ class Rollup:
         self.fs.mkdirs(self._p(f"{path}/batches"))
 
     def committed(self, batch_id: str) -> bool:
-        return any(self.fs.exists(self._p(f"{self.path}/{d}/{batch_id}")) for d in ("batches", "compacted"))
+        return self.fs.exists(self._p(f"{self.path}/batches/{batch_id}")) or batch_id in self._compaction()[1]
 
     def commit(self, batch_id: str, signed: DataFrame) -> bool:
         """signed: KEYS, sign (+1 or -1), n_tokens. False if the batch was committed before."""
@@ -53,39 +54,68 @@ class Rollup:
         key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c)
         sums = signed.select(*[key(k) for k in KEYS], F.col("sign").cast("long").alias("sign"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n"))
         sums = sums.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n")).alias("n_tokens"))
-        return self._publish(sums, batch_id)
-
-    def _publish(self, sums: DataFrame, batch_id: str) -> bool:
-        staging = f"{self.path}/staging/{uuid.uuid4().hex}"
+        staging = self._staging()
         sums.write.parquet(staging)
-        target = self._p(f"{self.path}/batches/{batch_id}")
-        # Renaming a folder onto one that exists would put it inside that folder, so the name is tried first.
-        if self.fs.exists(target) or not self.fs.rename(self._p(staging), target):
-            self.fs.delete(self._p(staging), True)
-            return False
-        return True
+        return self._publish(staging, f"{self.path}/batches/{batch_id}")
+
+    def _staging(self) -> str:
+        return f"{self.path}/staging/{uuid.uuid4().hex}"
+
+    def _publish(self, staging: str, target: str) -> bool:
+        """The rename that commits. Onto a folder that another process has just made it fails, or puts the staging folder inside."""
+        source, place = self._p(staging), self._p(target)
+        inside = self._p(f"{target}/{source.getName()}")
+        if not self.fs.exists(place) and self.fs.rename(source, place) and not self.fs.exists(inside):
+            return True
+        for p in (inside, source):
+            self.fs.delete(p, True)
+        return False
+
+    def _names(self, folder: str) -> list[str]:
+        p = self._p(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
+
+    def _compaction(self) -> tuple[str | None, set[str]]:
+        """The last compaction's folder name, and the ids of the batches that its sums hold."""
+        names = self._names("compactions")
+        if not names:
+            return None, set()
+        ids = self.spark.read.schema("batch_id string").parquet(f"{self.path}/compactions/{names[-1]}/ids")
+        return names[-1], {r[0] for r in ids.collect()}
 
     def batches(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._p(f"{self.path}/batches")))
+        return sorted({*self._names("batches"), *self._compaction()[1]})
 
-    def totals(self) -> DataFrame:
-        names = self.batches()
-        if not names:
+    def _sums(self, last: str | None, names: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batches/{n}" for n in names] + ([f"{self.path}/compactions/{last}/sums"] if last else [])
+        if not paths:
             return self.spark.createDataFrame([], SUMS)
-        rows = self.spark.read.schema(SUMS).parquet(*[f"{self.path}/batches/{n}" for n in names])
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self.spark.read.schema(SUMS).parquet(*paths).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 OR n_tokens <> 0")
 
-    def compact(self) -> None:
-        """One batch in place of all. To be called by one process at a time, while no totals are read."""
-        names = self.batches()
-        if len(names) > 1:
-            staging = f"{self.path}/staging/{uuid.uuid4().hex}"
-            self.totals().write.parquet(staging)
-            self.fs.mkdirs(self._p(f"{self.path}/compacted"))
-            for n in names:
-                self.fs.rename(self._p(f"{self.path}/batches/{n}"), self._p(f"{self.path}/compacted/{n}"))
-            self.fs.rename(self._p(staging), self._p(f"{self.path}/batches/sum-{uuid.uuid4().hex}"))
+    def totals(self) -> DataFrame:
+        last, held = self._compaction()
+        return self._sums(last, [n for n in self._names("batches") if n not in held])
+
+    def compact(self) -> bool:
+        """Publish the sums of all batches, with their ids, as one folder; False if there is nothing new or another process came first.
+
+        Before the rename the old sums count and after it the new ones, wherever the process ends. What the last compaction
+        replaced is removed here, so totals that were begun after that one still find their files."""
+        last, held = self._compaction()
+        new = [n for n in self._names("batches") if n not in held]
+        if not new:
+            return False
+        staging, number = self._staging(), int(last or 0) + 1
+        self._sums(last, new).write.parquet(f"{staging}/sums")
+        self.spark.createDataFrame([(n,) for n in sorted({*held, *new})], "batch_id string").write.parquet(f"{staging}/ids")
+        replaced = [f"batches/{n}" for n in self._names("batches") if n in held]
+        replaced += [f"compactions/{n}" for n in self._names("compactions") if last and n < last]
+        if not self._publish(staging, f"{self.path}/compactions/{number:010d}"):
+            return False
+        for p in replaced:
+            self.fs.delete(self._p(f"{self.path}/{p}"), True)
+        return True
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:
