@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from wellspring.llm import binary_output, bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secrets, token_rollup
+from wellspring.llm import binary_output, bpe, common, exact_dedup, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secrets, token_rollup
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (None, "a b c", "en", None, 5), (4, "word " * 4000, "fr", "s", 1), (5, "a  b c", "en", "s", 6)]
@@ -265,7 +265,9 @@ def brute_components(rows):
     return sets, comp
 
 
-def test_near_components(spark, docs, empty):
+@pytest.mark.parametrize("salt_rows", [4, 256])
+def test_near_components(spark, docs, empty, monkeypatch, salt_rows):
+    monkeypatch.setattr(common, "SALT_ROWS", salt_rows)
     r = random.Random(12)
     base = [prose(r, 120).split() for _ in range(4)]
     rows = [x for x in corpus() if x[0] is not None]
@@ -318,6 +320,45 @@ def test_rollup_deltas(spark, docs, empty, tmp_path):
     assert read() == {}
 
 
+def test_compaction_that_ends_early_counts_nothing_twice(spark, docs, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    store, counts = token_rollup.Rollup(spark, path), token_rollup.word_counts(docs)
+    read = lambda: sorted(map(tuple, token_rollup.Rollup(spark, path).totals().collect()))
+    store.commit("one", token_rollup.inserted(counts))
+    store.commit("two", token_rollup.inserted(counts))
+    want, publish = read(), token_rollup.Rollup._publish
+    monkeypatch.setattr(token_rollup.Rollup, "_publish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.compact()
+    assert read() == want
+    monkeypatch.setattr(token_rollup.Rollup, "_publish", publish)
+    assert store.compact() and not store.compact() and read() == want
+    assert store.batches() == ["one", "two"] and not store.commit("one", token_rollup.inserted(counts))
+    store.commit("three", token_rollup.deleted(counts))
+    assert store.compact() and [(k, n // 2, m // 2) for *k, n, m in want] == [(k, n, m) for *k, n, m in read()]
+    for n in ("one", "two", "three"):
+        assert not store.commit(n, token_rollup.inserted(counts))
+
+
+def test_a_batch_renamed_onto_another_is_taken_back(spark, docs, tmp_path):
+    store, counts = token_rollup.Rollup(spark, f"file://{tmp_path}/store"), token_rollup.word_counts(docs)
+    store.commit("one", token_rollup.inserted(counts))
+    want = sorted(map(tuple, store.totals().collect()))
+    staging = store._staging()
+    counts.limit(1).write.parquet(staging)
+    assert not store._publish(staging, f"{store.path}/batches/one") and sorted(map(tuple, store.totals().collect())) == want
+
+
+def test_salted_join_keeps_all_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, b) for k, n in ((1, 50), (2, 3), (3, 1), (4, 9)) for b in range(n)], "a long, b long")
+    one = spark.createDataFrame([(1, "x"), (2, "y"), (4, "z"), (4, "second"), (9, "none")], "a long, wide string")
+    want = sorted(map(tuple, rows.join(one, "a").select("a", "b", "wide").collect()))
+    for size in (2, 4, 256):
+        monkeypatch.setattr(common, "SALT_ROWS", size)
+        assert sorted(map(tuple, common.join_salted(rows, one, "a", "b").select("a", "b", "wide").collect())) == want
+    assert common.join_salted(rows.limit(0), one, "a", "b").count() == 0
+
+
 def test_rollup_query_applies_all_deltas(spark, tmp_path, monkeypatch):
     spark.createDataFrame(corpus(), KIND).write.parquet(str(tmp_path / "documents.parquet"))
     docs, signs, commit = spark.read.parquet(str(tmp_path / "documents.parquet")), {}, token_rollup.Rollup.commit

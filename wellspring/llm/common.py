@@ -68,6 +68,20 @@ def salts(rows: Column) -> Column:
     return F.ceil(rows / SALT_ROWS)
 
 
+def join_salted(rows: DataFrame, one: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """rows joined by key with `one`, a table of few but wide rows for each key. The rows of a key with more than SALT_ROWS rows (in
+    `counted`, where that is given) are dealt by the column `by` over salts, each of which gets a copy of the key's wide rows."""
+    counts = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SALT_ROWS)
+    hot = materialise(counts.select(key, salts(F.col("n")).alias("salts")), "hot-keys")
+    n = hot.count()
+    if not n:
+        return rows.join(one, key)
+    hot, salts_of = maybe_broadcast(hot, rows=n), F.coalesce("salts", F.lit(1).cast("long"))
+    rows = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts_of)).drop("salts")
+    one = one.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts_of - 1))).drop("salts")
+    return rows.join(one, [key, "salt"]).drop("salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole texts can hold in a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

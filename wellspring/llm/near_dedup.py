@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, materialise, maybe_broadcast, releasing, small_batches
+from .common import documents, join_salted, map_rows, materialise, maybe_broadcast, releasing, small_batches
 
 SHINGLE, THRESHOLD = 5, (75, 100)
 BANDS, ROWS = 43, 5
@@ -142,7 +142,7 @@ def bayes_survivors(pairs: DataFrame, sets: DataFrame, total: int, batch: int =
     """pairs (a, b): those that the sequential test doesn't prune, with the matches counted."""
     one = sets.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     two = sets.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")
+    joined = join_salted(pairs.select("a", "b"), one, "a", "b").join(two, "b").select("a", "b", "sig_a", "sig_b")
     table = prune_table(total, batch, THRESHOLD[0] / THRESHOLD[1], miss)
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("matches", pa.int32())])
 
@@ -186,7 +186,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 out.append((a, b))
         return out
 
-    joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    joined = join_salted(pairs.select("a", "b").join(two, "b"), one, "a", "b", pairs).select("a", "b", "text_a", "text_b")
     return map_rows(joined, rows, "a long, b long", Sets)
 
 
@@ -329,8 +329,8 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     heads = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "head")
     stars = banded.join(heads, "key").filter((F.col("rep") != F.col("head.rep")) & fits(F.col("n"), F.col("head.n")))
     stars = stars.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    survivors = materialise(bayes_survivors(stars, sets, total), "star-survivors")
-    best = survivors.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
+    survivors = materialise(bayes_survivors(materialise(stars, "star-pairs"), sets, total), "star-survivors")
+    best = materialise(survivors.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")), "best-pairs")
     links = materialise(exact_links(best.select("a", "b"), docs), "links-first")
     label = components(links)
 
