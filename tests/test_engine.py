@@ -306,3 +306,19 @@ def test_hybrid_queries_search_vectors(spark):
         mine = sorted((r for r in got["interleave"] if r.query_id == q), key=lambda r: r["rank"])
         assert [r.id for r in mine] == sorted(both, key=lambda i: (turns[i], i))[:20]
     assert catalog.repertorize_hybrid_searched(spark, sf).count() > 0
+
+
+def counted(df, name: str) -> int:
+    """How often a function stands in the optimized plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"{name}(")
+
+
+def long_monograph(n: int) -> str:
+    return "intro\n" + "".join(f"## Part {k % (n - 2)}\n- entry {k} of it\n\n" for k in range(n)) + "## Uses\n- gentle rest\n## Warnings\n- never with wine\n"
+
+
+def test_markdown_indications_split_a_text_once(spark):
+    df = spark.createDataFrame([(long_monograph(60),)], "t string").repartition(1)
+    got = df.select(E.markdown_indications(F.col("t")).alias("x"))
+    assert counted(got, "split") == 2  # lines of the text, and of a section
+    assert [(i.text, i.section) for i in got.first().x] == [("gentle rest", "uses")]

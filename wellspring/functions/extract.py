@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import values
-from .text import first_rule
+from .text import first_rule, let
 
 ITEM = "array<struct<value:string,confidence:double,source:string,context:string>>"
 
@@ -113,19 +113,25 @@ def document_binomials(text: Column) -> Column:
 
 
 def sections(text: Column) -> Column:
-    """array<struct<name, content>>: a heading opens a section; of equal names the last stays; a heading without lines none."""
-    lines = F.split(text, "\n")
-    heads = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i == F.size(lines)) | F.get(lines, i).startswith("#"))
-    starts = F.concat(F.array(F.lit(-1)), heads)
-
-    def one(i: Column, j: Column) -> Column:
-        end = F.get(heads, j)
-        name = F.when(i < 0, "_header").otherwise(F.lower(F.trim(F.regexp_replace(F.get(lines, F.greatest(i, F.lit(0))), r"^#+", ""))))
-        body = F.slice(lines, i + 2, F.greatest(end - i - 1, F.lit(0)))
-        return F.struct(name.alias("name"), F.when(end - i - 1 > 0, F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "")).alias("content"))
-
-    made = F.filter(F.transform(F.slice(starts, 1, F.size(heads)), one), lambda s: s["content"].isNotNull())
-    return F.filter(made, lambda s, k: ~F.exists(F.slice(made, k + 2, F.size(made)), lambda t: t["name"] == s["name"]))
+    """array<struct<name, content>>: a heading opens a section; of equal names the last stays; a heading without lines none.
+
+    Lines, headings and sections are made once a text: an outer expression inside a lambda is evaluated again for each member."""
+
+    def made(lines: Column, heads: Column) -> Column:
+        def one(i: Column, j: Column) -> Column:
+            end = F.get(heads, j)
+            name = F.when(i < 0, "_header").otherwise(F.lower(F.trim(F.regexp_replace(F.get(lines, F.greatest(i, F.lit(0))), r"^#+", ""))))
+            body = F.slice(lines, i + 2, F.greatest(end - i - 1, F.lit(0)))
+            return F.struct(name.alias("name"), F.when(end - i - 1 > 0, F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "")).alias("content"))
+
+        starts = F.concat(F.array(F.lit(-1)), F.slice(heads, 1, F.size(heads) - 1))
+        return F.filter(F.transform(starts, one), lambda s: s["content"].isNotNull())
+
+    def headings(lines: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i == F.size(lines)) | F.get(lines, i).startswith("#"))
+
+    last = lambda found: F.filter(found, lambda s, k: ~F.exists(F.slice(found, k + 2, F.size(found)), lambda t: t["name"] == s["name"]))
+    return F.when(text.isNotNull(), let(F.split(text, "\n"), lambda lines: let(headings(lines), lambda heads: let(made(lines, heads), last))))
 
 
 def bullets(found: Column, headers: list[str], compat: bool, numbered: bool) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_multiplier, evidence_priority
@@ -75,3 +75,9 @@ def spread(df: DataFrame, key: str = "id") -> DataFrame:
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, key) if size < cores * split else df
+
+
+def exploded(df: DataFrame, array: Column, *keep: str | Column, name: str = "x") -> DataFrame:
+    """keep, and a row for each member of the array. The plain explode would have its whole array computed again, in a filter on its size.
+    Members are never null."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

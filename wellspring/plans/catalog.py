@@ -675,7 +675,8 @@ def written(spark, sf) -> DataFrame:
     """id, t: a monograph in Markdown for every row of part, since no table holds Markdown."""
     p = [F.col(c).cast("string") for c in ("p_name", "p_type", "p_brand")]
     pieces = ["# ", p[0], "\n\nIntro of ", p[0], "\n\n## Indications\n- Mild ", p[0], " pain\n* ", p[1], "\n1. ", p[2], " cough\n- no\n\n## Contraindications\n- Avoid ", p[0], "\n- Never with ", p[1], "\n\n## Safety Notes\n+ Caution: ", p[2], "\n"]
-    return D.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in pieces]).alias("t"))
+    parts = relational.spread(D.read(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in pieces]).alias("t"))
 
 
 def written_sql(rows: list[tuple[str, str]], columns: str, rules: str) -> str:
@@ -686,18 +687,18 @@ def written_sql(rows: list[tuple[str, str]], columns: str, rules: str) -> str:
 
 @query("SELECT p_partkey AS id, p_name AS title, unnest([p_name, 'indications', 'contraindications', 'safety notes']) AS section, unnest([length('Intro of ' || p_name), length('- Mild ' || p_name || ' pain' || chr(10) || '* ' || p_type || chr(10) || '1. ' || p_brand || ' cough' || chr(10) || '- no'), length('- Avoid ' || p_name || chr(10) || '- Never with ' || p_type), length('+ Caution: ' || p_brand)])::INT AS size FROM part")
 def markdown_sections(spark, sf):
-    got = written(spark, sf).select("id", E.markdown_title(F.col("t")).alias("title"), F.explode(E.sections(F.col("t"))).alias("s"))
+    got = relational.exploded(written(spark, sf), E.sections(F.col("t")), "id", E.markdown_title(F.col("t")).alias("title"), name="s")
     return got.select("id", "title", F.col("s.name").alias("section"), F.length("s.content").alias("size"))
 
 
 @query(written_sql([("'Mild ' || p_name || ' pain'", "indications"), ("p_type", "indications"), ("p_brand || ' cough'", "indications")], "id, text, section", f"{rules_sql('text', values.DOCUMENT_CATEGORY_RULES)} AS category"))
 def markdown_indications(spark, sf):
-    return written(spark, sf).select("id", F.explode(E.markdown_indications(F.col("t"))).alias("i")).select("id", "i.text", "i.section", "i.category")
+    return relational.exploded(written(spark, sf), E.markdown_indications(F.col("t")), "id", name="i").select("id", "i.text", "i.section", "i.category")
 
 
 @query(written_sql([("'Avoid ' || p_name", "c"), ("'Never with ' || p_type", "c"), ("'Caution: ' || p_brand", "s")], "id, text", f"{rules_sql('text', values.DOCUMENT_SEVERITY_RULES, repr('mild'))} AS severity"))
 def markdown_safety(spark, sf):
-    return written(spark, sf).select("id", F.explode(E.markdown_safety(F.col("t"))).alias("i")).select("id", "i.text", "i.severity")
+    return relational.exploded(written(spark, sf), E.markdown_safety(F.col("t")), "id", name="i").select("id", "i.text", "i.severity")
 
 
 SENTENCES_OF = "regexp_replace(regexp_replace(regexp_replace(text, '\\(\\d+[–\\-]?\\d*\\)', '', 'g'), '\\n+', ' ', 'g'), '([.!?])[\\s\\x0B]+', '\\1' || chr(1), 'g')"
