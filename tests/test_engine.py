@@ -322,3 +322,14 @@ def test_markdown_indications_split_a_text_once(spark):
     got = df.select(E.markdown_indications(F.col("t")).alias("x"))
     assert counted(got, "split") == 2  # lines of the text, and of a section
     assert [(i.text, i.section) for i in got.first().x] == [("gentle rest", "uses")]
+
+
+def test_markdown_sections_are_made_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, long_monograph(60)), (2, None), (3, "")], "id long, t string").repartition(1)
+    got = df.select("id", E.sections(F.col("t")).alias("x"))
+    assert counted(got, "split") == 1
+    rows = {r.id: r.x for r in got.collect()}
+    assert [s.name for s in rows[1]] == ["_header", *[f"part {k}" for k in [*range(2, 58), 0, 1]], "uses", "warnings"]
+    assert rows[1][-4].content == "- entry 58 of it" and rows[2] is None and [(s.name, s.content) for s in rows[3]] == [("_header", "")]
+    spark.createDataFrame([(k, "cold ring", "PROMO", "Brand#1") for k in range(9)], "p_partkey long, p_name string, p_type string, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.markdown_sections(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # a small file, dealt over all cores
