@@ -333,3 +333,10 @@ def test_markdown_sections_are_made_once(spark, tmp_path):
     assert rows[1][-4].content == "- entry 58 of it" and rows[2] is None and [(s.name, s.content) for s in rows[3]] == [("_header", "")]
     spark.createDataFrame([(k, "cold ring", "PROMO", "Brand#1") for k in range(9)], "p_partkey long, p_name string, p_type string, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert catalog.markdown_sections(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # a small file, dealt over all cores
+
+
+def test_markdown_safety_splits_a_text_once(spark):
+    df = spark.createDataFrame([(long_monograph(60),)], "t string").repartition(1)
+    got = df.select(E.markdown_safety(F.col("t")).alias("x"))
+    assert counted(got, "split") == 2
+    assert [i.text for i in got.first().x] == ["never with wine"]
