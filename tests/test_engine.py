@@ -340,3 +340,14 @@ def test_markdown_safety_splits_a_text_once(spark):
     got = df.select(E.markdown_safety(F.col("t")).alias("x"))
     assert counted(got, "split") == 2
     assert [i.text for i in got.first().x] == ["never with wine"]
+
+
+def test_doc_lengths_cache_nothing(spark):
+    text = "''Tis the 'quoted' dog's ''' rock 'n' roll' a''b"
+    assert one(spark, lambda c: T.words(c, None), text) == ["tis", "the", "quoted", "dog's", "rock", "n", "roll", "a''b"]
+    items = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "!!")], "id long, text string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    index = lexical.build_index(items, lexical.Analysis(stem=False, synonyms=None, stopwords=None), (("text", "text", True),))
+    assert {r.id: r.length for r in index.lengths.collect()} == {1: 15, 4: 0}
+    assert index.stats.first() == (2, 7.5) and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert "InMemoryRelation" not in index.lengths._jdf.queryExecution().optimizedPlan().toString()

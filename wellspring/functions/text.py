@@ -29,9 +29,9 @@ def runs(tokens: Column, name: str = "term") -> Column:
 def words(text: Column, stopwords: list[str] | None = values.STOPWORDS) -> Column:
     """Lower-case words of letters, digits, underscore and inner apostrophes, without stop words."""
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s']", " ")
-    parts = F.transform(F.split(clean, r"\s+"), lambda w: F.regexp_replace(w, r"^'+|'+$", ""))
+    clean = F.regexp_replace(clean, r"(?<!\S)'+|'+(?!\S)", "")  # outer apostrophes, in the whole text at once
     stop = [F.lit(s) for s in stopwords or []]
-    return F.filter(parts, lambda w: (w != "") & (~w.isin(*stop) if stop else F.lit(True)))
+    return F.filter(F.split(clean, r"\s+"), lambda w: (w != "") & (~w.isin(*stop) if stop else F.lit(True)))
 
 
 def bigrams(tokens: Column, joiner: str = "_") -> Column:
@@ -60,7 +60,8 @@ def expand_synonyms(tokens: Column, synonyms: dict[str, list[str]] = values.SYNO
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     pairs = [f"{quoted(k)}, array({', '.join(map(quoted, vs))})" for k, vs in synonym_map(synonyms).items()]
     table = F.expr(f"map({', '.join(pairs)})")  # parsed in one call: a literal each is slow to build
-    added = lambda ts: F.flatten(F.transform(ts, lambda t: F.coalesce(F.element_at(table, t), F.array().cast("array<string>"))))
+    keys = [F.lit(k) for k in synonym_map(synonyms)]  # by hash: a map is searched from its start for each token
+    added = lambda ts: F.flatten(F.transform(F.filter(ts, lambda t: t.isin(*keys)), lambda t: F.element_at(table, t)))
     return let(tokens, lambda ts: F.array_distinct(F.concat(ts, added(ts))))
 
 

@@ -9,6 +9,7 @@ window per query after the sums.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,7 +53,7 @@ class LexicalIndex:
     terms: DataFrame  # term, df, idf, n_postings
     lengths: DataFrame  # id, length
     stats: DataFrame  # one row: n_docs, avg_length
-    counted: DataFrame | None = None  # the cached rows that a new index comes from
+    marks: DataFrame | None = None  # of a new index: term, d (1 once for each id that has the term)
 
     def save(self, path: str) -> None:
         """Postings are clustered by term, so that a query's terms touch few files."""
@@ -71,62 +72,60 @@ class LexicalIndex:
 
     def idf_of(self, wanted: DataFrame) -> DataFrame:
         """term, idf of the wanted terms (distinct). A new index counts only these, in place of its whole vocabulary."""
-        if self.counted is None:
+        if self.marks is None:
             return self.terms.join(wanted, "term", "left_semi").select("term", "idf")
-        few = self.postings.select("term", "id").join(wanted, "term", "left_semi").groupBy("term").agg(F.countDistinct("id").alias("df"))
+        few = self.marks.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("d").alias("df"))
         return few.crossJoin(F.broadcast(self.stats.select("n_docs"))).select("term", idf("n_docs", "df").alias("idf"))  # one row
 
-    def release(self) -> None:
-        """Drop the cached rows of a new index."""
-        if self.counted is not None:
-            self.counted.unpersist()
 
+def exploded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """keep, and the members of the array's structs. The plain explode would have its whole array computed again, in a filter on its size."""
+    return df.select(*keep, F.explode_outer(array).alias("x")).filter("x IS NOT NULL").select(*keep, "x.*")
 
-def field_counts(items: DataFrame, analysis: Analysis, fields=FIELDS) -> DataFrame:
-    """id, fields: for each non-empty field of a row its name, number of tokens, largest count, and counted terms."""
+
+def field_tokens(items: DataFrame, analysis: Analysis, fields=FIELDS) -> DataFrame:
+    """id, n_fields, fields: the name and the tokens of each non-empty field of a row. Rows without such fields are left out."""
     used = [(i, n, c, full) for i, (n, c, full) in enumerate(fields) if c in items.columns]
     df = spread(items.select("id", *[F.col(c).alias(f"text_{i}") for i, _, c, _ in used]))
+    filled = [F.coalesce((F.col(f"text_{i}") != "").cast("int"), F.lit(0)) for i, *_ in used]
+    df = df.withColumn("n_fields", reduce(Column.__add__, filled)).filter("n_fields > 0")  # by texts alone: a filter on tokens would have them made twice
     for i, _, _, _ in used:
         df = analysis.with_words(df, F.col(f"text_{i}"), f"words_{i}")
     df = df.select("*", *[analysis.document(F.col(f"words_{i}"), full).alias(f"tokens_{i}") for i, _, _, full in used])
-    none = F.array().cast("array<struct<term:string,n:int>>")
-    df = df.select("*", *[F.coalesce(T.runs(F.col(f"tokens_{i}")), none).alias(f"counts_{i}") for i, _, _, _ in used])
-    top = lambda i: F.array_max(F.transform(f"counts_{i}", lambda c: c["n"]))
-    one = lambda i, n: F.struct(F.lit(n).alias("field"), F.size(f"tokens_{i}").cast("long").alias("size"), top(i).alias("top"), F.col(f"counts_{i}").alias("counts"))
-    return df.select("id", F.filter(F.array(*[F.when(F.col(f"text_{i}") != "", one(i, n)) for i, n, _, _ in used]), lambda f: f.isNotNull()).alias("fields"))
-
-
-def exploded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
-    """keep, and the members of the array's structs. The plain explode would have its whole array computed again, in a filter on its size."""
-    return df.select(*keep, F.explode_outer(array).alias("x")).filter("x IS NOT NULL").select(*keep, "x.*")
+    one = lambda i, n: F.when(F.col(f"text_{i}") != "", F.struct(F.lit(n).alias("field"), F.col(f"tokens_{i}").alias("tokens")))
+    return df.select("id", "n_fields", F.filter(F.array(*[one(i, n) for i, n, _, _ in used]), lambda f: f.isNotNull()).alias("fields"))
 
 
 def build_index(items: DataFrame, analysis: Analysis | None = None, fields=FIELDS, stats: str = "field") -> LexicalIndex:
     """stats "field": each field counts as a document; "document": each id does.
 
     Ids are unique, as in every table of the store, so a row's terms are counted inside the row and postings need no shuffle;
-    only the terms' document frequencies do, with map-side combination."""
-    docs = field_counts(items, analysis or Analysis(), fields).persist()  # four tables come from it
-    last = F.element_at("fields", -1)["size"]
+    only the terms' document frequencies do, with map-side combination. Nothing is cached: each table makes what it needs of the
+    tokens again, row by row, since cached rows are held 10,000 at once, with all their terms."""
+    docs = field_tokens(items, analysis or Analysis(), fields)
+    none = F.array().cast("array<struct<term:string,n:int>>")
+    docs = docs.withColumn("length", F.size(F.element_at("fields", -1)["tokens"]).cast("long"))
 
     def entry(f: Column) -> Column:
-        return F.transform(f["counts"], lambda c: F.struct(c["term"].alias("term"), (F.lit(0.5) + F.lit(0.5) * c["n"] / f["top"]).alias("tf"), f["field"].alias("field")))
-
-    filled = docs.filter(F.size("fields") > 0).withColumn("length", last)
-    postings = exploded(filled, F.flatten(F.transform("fields", entry)), "id", "length").select("term", "id", "tf", "field", "length")
-    lengths = filled.select("id", "length")
-    n = F.sum(F.size("fields")) if stats == "field" else F.count(F.lit(1))
-    one = filled.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n_docs"), F.sum("length").alias("total"))
+        tf = lambda n, top: F.lit(0.5) + F.lit(0.5) * n / top
+        rows = lambda cs: lambda top: F.transform(cs, lambda c: F.struct(c["term"].alias("term"), tf(c["n"], top).alias("tf"), f["field"].alias("field")))
+        return T.let(F.coalesce(T.runs(f["tokens"]), none), lambda cs: T.let(F.array_max(F.transform(cs, lambda c: c["n"])), rows(cs)))
+
+    postings = exploded(docs, F.flatten(F.transform("fields", entry)), "id", "length").select("term", "id", "tf", "field", "length")
+    lengths = docs.select("id", "length")
+    n = F.sum("n_fields") if stats == "field" else F.count(F.lit(1))
+    one = docs.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n_docs"), F.sum("length").alias("total"))
     one = one.select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).otherwise(0.0).alias("avg_length"))
-    every = F.flatten(F.transform("fields", lambda f: F.transform(f["counts"], lambda c: c["term"])))
+    every = F.flatten(F.transform("fields", lambda f: F.array_distinct(f["tokens"])))
     mark = lambda a, d, p: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(d).alias("d"), F.lit(p).alias("p")))
     if len([c for _, c, _ in fields if c in items.columns]) > 1:
         marks = T.let(every, lambda a: F.concat(mark(F.array_distinct(a), 1, 0), mark(a, 0, 1)))
     else:
         marks = mark(every, 1, 1)
-    terms = exploded(filled, marks).groupBy("term").agg(F.sum("d").alias("df"), F.sum("p").alias("n_postings"))
+    marks = exploded(docs, marks)
+    terms = marks.groupBy("term").agg(F.sum("d").alias("df"), F.sum("p").alias("n_postings"))
     terms = terms.crossJoin(F.broadcast(one.select("n_docs"))).withColumn("idf", idf("n_docs", "df"))  # one row
-    return LexicalIndex(postings, terms.select("term", "df", "idf", "n_postings"), lengths, one, docs)
+    return LexicalIndex(postings, terms.select("term", "df", "idf", "n_postings"), lengths, one, marks)
 
 
 def idf(n_docs, df) -> Column:
@@ -208,7 +207,7 @@ def scores(
     n = wanted.count()
     probe = small(probe, n * MOST_NEAR if fuzzy else n)  # the postings are then filtered where they are, without a shuffle
     hits = probe.join(index.postings.withColumnRenamed("term", "index_term"), "index_term")
-    hits = hits.join(index.idf_of(small(wanted.select("term").distinct(), n)), "term", "left").crossJoin(F.broadcast(index.stats))  # one row
+    hits = hits.join(small(index.idf_of(small(wanted.select("term").distinct(), n)), n), "term", "left").crossJoin(F.broadcast(index.stats))  # one row
     hits = hits.withColumn("idf", F.coalesce("idf", idf(F.col("n_docs"), F.lit(0))))
     hits = hits if "length" in index.postings.columns else hits.join(index.lengths, "id")
     one = bm25("tf", "idf", "length", "avg_length") if scoring == "bm25" else F.col("tf") * F.col("idf")
