@@ -351,3 +351,12 @@ def test_doc_lengths_cache_nothing(spark):
     assert {r.id: r.length for r in index.lengths.collect()} == {1: 15, 4: 0}
     assert index.stats.first() == (2, 7.5) and spark.sparkContext._jsc.getPersistentRDDs().size() == before
     assert "InMemoryRelation" not in index.lengths._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_bm25_documents_caches_nothing(spark):
+    items = spark.createDataFrame([(k, "red fox " * (k % 3 + 1) + "blue dog") for k in range(30)], "id long, text string")
+    index = lexical.build_index(items, catalog.NO_SYNONYMS, catalog.TEXT_FIELD)
+    named = items.select("id", F.col("text").alias("indication_text"), F.lit(None).cast("string").alias("normalized_text"))
+    hits = lexical.scores(index, lexical.query_table(spark, ["fox", "blue cat"]), named, catalog.NO_SYNONYMS)
+    assert "InMemoryRelation" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r.id) for r in hits.collect()} == {(q, k) for q in (0, 1) for k in range(30)}
