@@ -360,3 +360,10 @@ def test_search_bm25_documents_caches_nothing(spark):
     hits = lexical.scores(index, lexical.query_table(spark, ["fox", "blue cat"]), named, catalog.NO_SYNONYMS)
     assert "InMemoryRelation" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.query_id, r.id) for r in hits.collect()} == {(q, k) for q in (0, 1) for k in range(30)}
+
+
+def test_term_df_idf_caches_nothing(spark):
+    items = spark.createDataFrame([(1, "fox fox dog"), (2, "fox"), (3, None)], "id long, text string")
+    terms = lexical.build_index(items, catalog.NO_SYNONYMS, catalog.TEXT_FIELD).terms
+    assert "InMemoryRelation" not in terms._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.term, r.df, r.n_postings) for r in terms.collect()} == {("fox", 2, 2), ("dog", 1, 1), ("fox_fox", 1, 1), ("fox_dog", 1, 1)}
