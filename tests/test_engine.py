@@ -367,3 +367,13 @@ def test_term_df_idf_caches_nothing(spark):
     terms = lexical.build_index(items, catalog.NO_SYNONYMS, catalog.TEXT_FIELD).terms
     assert "InMemoryRelation" not in terms._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.term, r.df, r.n_postings) for r in terms.collect()} == {("fox", 2, 2), ("dog", 1, 1), ("fox_fox", 1, 1), ("fox_dog", 1, 1)}
+
+
+def test_search_stemmed_documents_stem_each_word_of_a_batch_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(stemmer, "stem", lambda w: seen.append(w) or w[:3])
+    rows = [["running", "flies", "running"], None, [], ["flies", None]]
+    assert stemmer.stem_arrays.func(pa.array([["x"], *rows], pa.list_(pa.string())).slice(1)).to_pylist() == [["run", "fli", "run"], None, [], ["fli", None]]
+    assert sorted(seen) == ["flies", "running"]
