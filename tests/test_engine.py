@@ -377,3 +377,10 @@ def test_search_stemmed_documents_stem_each_word_of_a_batch_once(spark, monkeypa
     rows = [["running", "flies", "running"], None, [], ["flies", None]]
     assert stemmer.stem_arrays.func(pa.array([["x"], *rows], pa.list_(pa.string())).slice(1)).to_pylist() == [["run", "fli", "run"], None, [], ["fli", None]]
     assert sorted(seen) == ["flies", "running"]
+
+
+def test_doc_pairs_edges_make_each_list_once(spark):
+    docs = spark.createDataFrame([(1, "Rosa canina and Salvia officinalis ease indigestion and restlessness"), (2, "Rosa canina"), (3, None)], "doc_id long, text string").repartition(1)
+    got = catalog.document_pairs(docs)
+    assert counted(got, "regexp_extract_all") == 2
+    assert {(r.doc_id, r.name_a, r.name_b) for r in got.collect()} == {(1, a, b) for a in ("Rosa canina", "Salvia officinalis") for b in ("officinalis", "indigestion", "restlessness")}

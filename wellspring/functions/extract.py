@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +14,37 @@ from .text import first_rule, let
 ITEM = "array<struct<value:string,confidence:double,source:string,context:string>>"
 
 
+def literals(pattern: str) -> list[str]:
+    """Pieces of lower-case text of which every match of a pattern of `values` has one: the longest of each alternative."""
+    p = re.sub(r"^\(\?i\)", "", pattern)
+    whole = re.fullmatch(r"\\b\(([^()]*)\)\\b", p)
+    if whole:
+        p = whole[1]
+    group = r"\((?:\\.|[^()\\])*\)"
+    held = re.findall(group, p)
+    out = []
+    for part in re.sub(group, "\0", p).split("|"):
+        pieces = re.findall(r"[a-z](?:[a-z -]*[a-z])?", re.sub(r".\?|\\.[+*]?", "\0", re.sub("\0\\?", "\0", part)))
+        longest = max(pieces, key=len, default="")
+        out += [longest] if len(longest) > 2 else re.findall(r"[a-z]+", held[0].replace("?:", "")) if part.startswith("\0") else [""]
+    return out
+
+
+def may_match(low: Column, *patterns: str) -> Column:
+    """Whether the lower-cased text has a literal of the patterns. Far cheaper than a pattern, which few texts need then."""
+    return reduce(Column.__or__, [F.contains(low, F.lit(x)) for p in patterns for x in literals(p)])
+
+
 def all_matches(text: Column, patterns: list[str]) -> Column:
     """The first groups of all matches, pattern by pattern."""
-    return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in patterns]))
+    none = F.array().cast("array<string>")
+    one = lambda low: lambda p: F.when(may_match(low, p), F.regexp_extract_all(text, F.lit(p), 1)).otherwise(none)
+    return F.when(text.isNotNull(), let(F.lower(text), lambda low: F.flatten(F.array(*map(one(low), patterns)))))
 
 
 def distinct_ignoring_case(found: Column, key) -> Column:
     """The first item of each lower-cased key, in order."""
-    return F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: F.lower(key(y)) == F.lower(key(x))))
+    return let(found, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, 1, i), lambda y: F.lower(key(y)) == F.lower(key(x)))))
 
 
 def binomials(text: Column) -> Column:
@@ -51,10 +77,13 @@ def clean_indication(text: Column) -> Column:
 
 
 def normalize_indication(text: Column) -> Column:
-    low, out = F.lower(text), None
-    for pattern, name in values.NORMALIZATION_RULES:
-        out = F.when(F.rlike(low, F.lit(pattern)), name) if out is None else out.when(F.rlike(low, F.lit(pattern)), name)
-    return out.otherwise(clean_indication(text))
+    """The name of the first rule that fits, or the cleaned text."""
+    return F.coalesce(let(F.lower(text), lambda low: first_match(low, [(name, p) for p, name in values.NORMALIZATION_RULES])), clean_indication(text))
+
+
+def first_match(low: Column, rules: list[tuple[str, str]]) -> Column:
+    """The first name whose pattern the lower-cased text has, or null. Hand it a lambda variable, else each rule lowers the text again."""
+    return F.coalesce(*[F.when(may_match(low, p) & F.rlike(low, F.lit(p)), name) for name, p in rules])
 
 
 def indications(text: Column) -> Column:
@@ -64,7 +93,8 @@ def indications(text: Column) -> Column:
 
 
 def bullet_indications(text: Column) -> Column:
-    raw = F.filter(F.transform(all_matches(text, values.BULLET_PATTERNS), clean_indication), lambda x: F.length(x) >= 5)
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in values.BULLET_PATTERNS]))
+    raw = F.filter(F.transform(found, clean_indication), lambda x: F.length(x) >= 5)
     return F.transform(distinct_ignoring_case(raw, lambda x: x), normalize_indication)
 
 
@@ -74,12 +104,8 @@ def categorize(text: Column) -> Column:
 
 def evidence(text: Column) -> Column:
     """struct<level, confidence>"""
-    low, out = F.lower(F.coalesce(text, F.lit(""))), None
-    for level, pattern in values.EVIDENCE_PATTERNS:
-        hit = F.rlike(low, F.lit(pattern))
-        value = F.struct(F.lit(level).alias("level"), F.lit(0.85).alias("confidence"))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(F.struct(F.lit("traditional").alias("level"), F.lit(0.50).alias("confidence")))
+    found = lambda x: F.struct(F.coalesce(x, F.lit("traditional")).alias("level"), F.when(x.isNotNull(), 0.85).otherwise(0.50).alias("confidence"))
+    return let(let(F.lower(F.coalesce(text, F.lit(""))), lambda low: first_match(low, values.EVIDENCE_PATTERNS)), found)
 
 
 def severity(text: Column) -> Column:

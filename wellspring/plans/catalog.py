@@ -579,10 +579,12 @@ def doc_pairs_edges(spark, sf):
 
 
 def document_pairs(docs: DataFrame) -> DataFrame:
-    """Both lists lie in the document's row, so pairs need no join."""
-    terms = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), 0))
-    named = docs.select("doc_id", F.explode(E.document_binomials(F.col("text"))).alias("name_a"), terms.alias("terms"))
-    return named.select("doc_id", "name_a", F.explode("terms").alias("name_b"))
+    """Both lists lie in the document's row, so pairs need no join; each is made once a document, not again for each name."""
+    low = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), 0))
+    lists = F.struct(E.document_binomials(F.col("text")).alias("names"), low.alias("terms"))
+    by_name = T.let(lists, lambda x: F.transform(x["names"], lambda n: F.struct(n.alias("name_a"), x["terms"].alias("terms"))))
+    named = relational.exploded(docs, by_name, "doc_id").select("doc_id", "x.name_a", "x.terms")
+    return relational.exploded(named, F.col("terms"), "doc_id", "name_a", name="name_b")
 
 
 ASCII_LOW = f"lower({ASCII.format('text')})"
@@ -615,7 +617,7 @@ def noted(spark, sf) -> DataFrame:
 
 
 def found_in(docs: DataFrame, found, name: str) -> DataFrame:
-    return docs.select("doc_id", F.explode(found(F.col("text"))).alias(name))
+    return relational.exploded(docs, found(F.col("text")), "doc_id", name=name)
 
 
 @query(
