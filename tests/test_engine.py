@@ -384,3 +384,11 @@ def test_doc_pairs_edges_make_each_list_once(spark):
     got = catalog.document_pairs(docs)
     assert counted(got, "regexp_extract_all") == 2
     assert {(r.doc_id, r.name_a, r.name_b) for r in got.collect()} == {(1, a, b) for a in ("Rosa canina", "Salvia officinalis") for b in ("officinalis", "indigestion", "restlessness")}
+
+
+def test_extract_indications_search_a_text_once_for_each_pattern(spark):
+    docs = spark.createDataFrame([("USED FOR rest. Treats cough, treat  Coughing fits. used for Rest",), ("nothing",), (None,)], "t string").repartition(1)
+    got = docs.select(E.indications(F.col("t")).alias("x"))
+    assert counted(got, "regexp_extract_all") == 6
+    assert [sorted(r.x or []) for r in got.collect()] == [["cough", "rest"], [], []]
+    assert E.literals(E.values.INDICATION_PATTERNS[0]) == ["used", "employed", "utilized"]
