@@ -392,3 +392,16 @@ def test_extract_indications_search_a_text_once_for_each_pattern(spark):
     assert counted(got, "regexp_extract_all") == 6
     assert [sorted(r.x or []) for r in got.collect()] == [["cough", "rest"], [], []]
     assert E.literals(E.values.INDICATION_PATTERNS[0]) == ["used", "employed", "utilized"]
+
+
+def test_normalize_indications_lower_a_text_once(spark):
+    import re
+
+    cases = ["loose  stools", "Skin rash", "skin rashes", "a gas", "gases", "boost immunity", "BOOSTS IMMUNITY", "low mood swings", "asthmatic", "head pain; migraine", "plain text.", "İnsomnia", "poor\nappetite"]
+    want = [next((n for p, n in E.values.NORMALIZATION_RULES if re.search(p, x.lower(), re.ASCII)), None) for x in cases]
+    got = spark.createDataFrame([(x,) for x in cases], "t string").repartition(1).select("t", E.normalize_indication(F.col("t")).alias("x"))
+    assert counted(got, "lower") == 1
+    rows = {r.t: r.x for r in got.collect()}
+    assert all(rows[x] == w for x, w in zip(cases, want) if w and x != "İnsomnia") and rows["plain text."] == "plain text" and rows["gases"] == "gases" and rows["asthmatic"] == "asthmatic"
+    for p in [*E.values.INDICATION_PATTERNS, *E.values.INTERACTION_PATTERNS, *[p for p, _ in E.values.NORMALIZATION_RULES], *[p for _, p in E.values.EVIDENCE_PATTERNS]]:
+        assert all(len(x) > 2 for x in E.literals(p)), p
