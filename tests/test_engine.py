@@ -405,3 +405,10 @@ def test_normalize_indications_lower_a_text_once(spark):
     assert all(rows[x] == w for x, w in zip(cases, want) if w and x != "İnsomnia") and rows["plain text."] == "plain text" and rows["gases"] == "gases" and rows["asthmatic"] == "asthmatic"
     for p in [*E.values.INDICATION_PATTERNS, *E.values.INTERACTION_PATTERNS, *[p for p, _ in E.values.NORMALIZATION_RULES], *[p for _, p in E.values.EVIDENCE_PATTERNS]]:
         assert all(len(x) > 2 for x in E.literals(p)), p
+
+
+def test_detect_evidence_lowers_a_text_once(spark):
+    cases = {"A Double-Blind test": "clinical_trial", "in  vivo": "traditional", "In vivo  study": "clinical_trial", "arct": "traditional", "an RCT": "clinical_trial", "xplacebo-controlled": "clinical_trial", "Cell Culture": "in_vitro", "cell cultures": "traditional", "": "traditional"}
+    got = spark.createDataFrame([(x,) for x in [*cases, None]], "t string").repartition(1).select("t", E.evidence(F.col("t")).alias("x"))
+    assert counted(got, "lower") == 1
+    assert {r.t: (r.x.level, r.x.confidence) for r in got.collect() if r.t != ""} == {**{k: (v, 0.5 if v == "traditional" else 0.85) for k, v in cases.items() if k}, None: ("traditional", 0.5)}
