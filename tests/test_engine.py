@@ -412,3 +412,34 @@ def test_detect_evidence_lowers_a_text_once(spark):
     got = spark.createDataFrame([(x,) for x in [*cases, None]], "t string").repartition(1).select("t", E.evidence(F.col("t")).alias("x"))
     assert counted(got, "lower") == 1
     assert {r.t: (r.x.level, r.x.confidence) for r in got.collect() if r.t != ""} == {**{k: (v, 0.5 if v == "traditional" else 0.85) for k, v in cases.items() if k}, None: ("traditional", 0.5)}
+
+
+def test_searched_vectors_are_made_once_for_equal_texts(spark, monkeypatch):
+    items = spark.createDataFrame([(k, ("red fox", "blue dog runs", "")[k % 3]) for k in range(300)], "id long, text string").coalesce(1)
+    rows = {r.id: tuple(r.vector) for r in vector.embed(items).collect()}
+    assert len(rows) == 300 and all(rows[k] == rows[k % 3] for k in rows) and len(set(rows.values())) == 3 and not any(rows[2])
+    import pyarrow as pa
+
+    schema = "query_id long, id long, score double"
+    block = pa.table({"query_id": pa.array([0], pa.int64()), "q": pa.array([[1.0, 0.0]], pa.list_(pa.float32()))})
+
+    class Vectors:  # a column of Arrow that can't be turned into Python lists
+        def __init__(self, x):
+            self.x = x
+
+        def flatten(self):
+            return self.x.flatten()
+
+    class Batch:
+        def __init__(self, b):
+            self.b, self.num_rows = b, b.num_rows
+
+        def slice(self, *at):
+            return Batch(self.b.slice(*at))
+
+        def column(self, k):
+            return Vectors(self.b.column(k)) if k else self.b.column(k)
+
+    b = pa.record_batch({"id": pa.array([9, 7, 8], pa.int64()), "vector": pa.array([[0.5, 1], [1, 0], [0.5, 0]], pa.list_(pa.float32()))})
+    got = [r for out in vector.best_of(block, 2, 0.0, 5, schema)(iter([Batch(b)])) for r in out.to_pylist()]
+    assert [(r["id"], r["score"]) for r in got] == [(7, 1.0), (8, 0.5)]
