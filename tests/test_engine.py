@@ -443,3 +443,22 @@ def test_searched_vectors_are_made_once_for_equal_texts(spark, monkeypatch):
     b = pa.record_batch({"id": pa.array([9, 7, 8], pa.int64()), "vector": pa.array([[0.5, 1], [1, 0], [0.5, 0]], pa.list_(pa.float32()))})
     got = [r for out in vector.best_of(block, 2, 0.0, 5, schema)(iter([Batch(b)])) for r in out.to_pylist()]
     assert [(r["id"], r["score"]) for r in got] == [(7, 1.0), (8, 0.5)]
+
+
+def test_hash_features_are_counted_side_by_side(spark):
+    import hashlib
+    from collections import Counter
+
+    from wellspring.functions import values
+    from wellspring.operators import vector
+
+    long = " ".join(["Ünï" * 9, "x" * 54, "y" * 55, "z" * 56, "w" * 300, "_a1", "b"] * 3)
+    texts = [long, None, "", " ,;", "One two, one TWO! one", "Don't\tstop\n"]
+    df = vector.hashed_counts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    assert counted(df, "md5") == 0  # no interpreted functions token by token
+    want = {}
+    for i, t in enumerate(texts):
+        w = "".join(c if c.isalnum() or c == "_" else " " for c in (t or "").lower()).split()
+        n = Counter(int.from_bytes(hashlib.md5(x.encode()).digest()[:4], "little") % values.HASH_BUCKETS for x in [*w, *map(" ".join, zip(w, w[1:]))])
+        want |= {(i, b): (k, round(k / sum(x * x for x in n.values()) ** 0.5, 9)) for b, k in n.items()}
+    assert {(r.id, r.bucket): (r.tf, round(r.weight, 9)) for r in df.collect()} == want

@@ -70,6 +70,11 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
+def spaced(text: Column) -> Column:
+    """The words of `features` in one text, between single spaces: what parts them there is what is no letter, digit or underscore."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " ")
+
+
 def features(text: Column) -> Column:
     """Words and word pairs for hashing: no stop words, no stems."""
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " ")

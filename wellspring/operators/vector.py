@@ -15,6 +15,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import text as T
 from ..functions import values
+from . import counted
 from .relational import spread
 
 #: Queries that one pass over the vectors serves, and vectors of one matrix product.
@@ -32,16 +33,9 @@ def projection(dim: int = values.VECTOR_DIM, buckets: int = values.HASH_BUCKETS,
 
 def hashed_counts(items: DataFrame, text: str = "text", buckets: int = values.HASH_BUCKETS) -> DataFrame:
     """id, bucket, tf, weight (tf over the L2 norm of the row): counted inside each row, without a shuffle. Ids are unique."""
-    hashed = F.transform(T.features(F.col(text)), lambda t: T.bucket(t, buckets))
-
-    def weighted(counts):
-        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + c["n"].cast("long") * c["n"]))
-        one = lambda n: lambda c: F.struct(c["bucket"].alias("bucket"), c["n"].cast("long").alias("tf"), (c["n"] / n).alias("weight"))
-        return T.let(norm, lambda n: F.transform(counts, one(n)))
-
-    rows = T.let(hashed, lambda h: T.let(T.runs(h, "bucket"), weighted))
-    # The plain explode would have its whole array computed again, in a filter on its size.
-    return spread(items.select("id", text)).select("id", F.explode_outer(rows).alias("x")).filter("x IS NOT NULL").select("id", "x.*")
+    kind = f"id {items.schema['id'].dataType.simpleString()}, bucket long, tf long, weight double"
+    rows = spread(items.select("id", text)).select("id", T.spaced(F.col(text)).alias("text"))
+    return rows.mapInArrow(counted.hashed(to_arrow_schema(_parse_datatype_string(kind)), buckets), kind)
 
 
 def embed(items: DataFrame, text: str = "text", dim: int = values.VECTOR_DIM, seed: int = values.VECTOR_SEED, half: bool = True) -> DataFrame:
