@@ -462,3 +462,24 @@ def test_hash_features_are_counted_side_by_side(spark):
         n = Counter(int.from_bytes(hashlib.md5(x.encode()).digest()[:4], "little") % values.HASH_BUCKETS for x in [*w, *map(" ".join, zip(w, w[1:]))])
         want |= {(i, b): (k, round(k / sum(x * x for x in n.values()) ** 0.5, 9)) for b, k in n.items()}
     assert {(r.id, r.bucket): (r.tf, round(r.weight, 9)) for r in df.collect()} == want
+
+
+def test_term_df_idf_counts_terms_a_block_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from wellspring.operators import counted as C
+
+    texts = ["fox fox dog", None, "the 'dog' dog's ''", "", "fox", "a_1 fox"]
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert "lambda" not in lexical.build_index(items, catalog.NO_SYNONYMS, catalog.TEXT_FIELD).terms._jdf.queryExecution().optimizedPlan().toString()
+    rules = [catalog.NO_SYNONYMS.rules("text", True), catalog.PLAIN.rules("category", False)]
+    batch = pa.record_batch({"id": pa.array(range(6), pa.int64()), "a": pa.array(["fox fox dog", None, "the 'dog' dog's ''", None, "fox", "a_1 fox"]), "b": pa.array([None, None, "dog", "fox", "fox", None])})
+    kind = pa.schema([("term", pa.string()), ("d", pa.int64()), ("p", pa.int64())])
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(C, "BLOCK_BYTES", size)
+        got: dict = {}
+        for b in C.indexed(kind, rules, "marks")(iter([batch])):
+            for r in b.to_pylist():
+                d, p = got.get(r["term"], (0, 0))
+                got[r["term"]] = (d + r["d"], p + r["p"])
+        assert got == {"fox": (4, 5), "dog": (2, 3), "dog's": (1, 1), "a_1": (1, 1), "fox_fox": (1, 1), "fox_dog": (1, 1), "dog_dog's": (1, 1), "a_1_fox": (1, 1)}

@@ -70,9 +70,10 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def spaced(text: Column) -> Column:
-    """The words of `features` in one text, between single spaces: what parts them there is what is no letter, digit or underscore."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " ")
+def spaced(text: Column, inner: str = "") -> Column:
+    """The words of `features` in one text, between single spaces: what parts them there is what is no letter, digit or underscore.
+    With an apostrophe as `inner`, those of `words`, before outer apostrophes and stop words go."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{N}}_{inner}]+", " ")
 
 
 def features(text: Column) -> Column:

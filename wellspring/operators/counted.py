@@ -8,19 +8,37 @@ import ctypes
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from ..functions.stemmer import stem_flat
 
 #: Bytes of words that are worked on at once (a longer row is a block of its own), and rows of one batch handed back.
-BLOCK_BYTES, OUT_ROWS = 4 << 20, 1 << 17
+BLOCK_BYTES, OUT_ROWS = 1 << 20, 1 << 16
 #: MD5: terms hashed side by side, start values, and the constant and rotation of each step (RFC 1321).
 MD5_CHUNK = 16384
 MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 MD5_ROUNDS = [(np.uint32(int(abs(math.sin(i + 1)) * 2**32)), np.uint32(((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4])) for i in range(64)]
 
 
+#: Rows of one Arrow batch of whole texts.
+IN_ROWS = 512
+
+
+def mapped(df: DataFrame, run: Callable, kind: str, *args) -> DataFrame:
+    """df.mapInArrow of run(schema of `kind`, *args), in batches of few rows: a worker holds a whole batch of texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= IN_ROWS:
+        conf.set(key, str(IN_ROWS))
+    return df.mapInArrow(run(to_arrow_schema(_parse_datatype_string(kind)), *args), kind)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], texts: list[int]) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows; texts: the columns of words or texts whose bytes count."""
     for b in batches:
@@ -144,3 +162,126 @@ def hashed(schema: pa.Schema, buckets: int):
             yield from batches_of([b.column(0).take(pa.array(row)), bucket, n, n / norm[row]], schema)
 
     return releasing(run)
+
+
+# ---- terms of the lexical index
+
+
+@dataclass(frozen=True)
+class Rules:
+    """How the texts of one field become terms; texts come lower-case, with words between single spaces."""
+
+    name: str
+    stopwords: tuple[str, ...]
+    stem: bool
+    bigrams: bool
+    synonyms: dict[str, list[str]] | None
+
+
+@dataclass
+class Counts:
+    """names: the distinct terms of a block; row, code, n: how often each row has each of its terms; size: the terms of each row."""
+
+    names: pa.Array
+    row: np.ndarray
+    code: np.ndarray
+    n: np.ndarray
+    size: np.ndarray
+
+
+def tokens_of(texts: pa.Array, rules: Rules) -> tuple[pa.Array, np.ndarray]:
+    words, row = words_of(texts)
+    words = pc.utf8_trim(words, "'")
+    keep = pc.greater(pc.binary_length(words), 0)
+    if rules.stopwords:
+        keep = pc.and_(keep, pc.invert(pc.is_in(words, value_set=pa.array(rules.stopwords, pa.string()))))
+    words, row = words.filter(keep), row[keep.to_numpy(zero_copy_only=False)]
+    words = stem_flat(words) if rules.stem else words
+    if rules.bigrams:
+        pairs, at = pairs_of(words, row, "_")
+        words, row = pa.concat_arrays([words, pairs]), np.r_[row, at]
+    return words, row
+
+
+def counts_of(texts: pa.Array, rules: Rules) -> Counts:
+    tokens, row = tokens_of(texts, rules)
+    coded = tokens.dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if rules.synonyms:
+        names, row, code = with_synonyms(names, row, code, rules.synonyms)
+    row, code, n = runs(row, code, max(1, len(names)))
+    n = np.ones_like(n) if rules.synonyms else n  # with synonyms a text is a set of terms
+    return Counts(names, row, code, n, np.bincount(row, n, len(texts)).astype(np.int64))
+
+
+def with_synonyms(names: pa.Array, row: np.ndarray, code: np.ndarray, synonyms: dict[str, list[str]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The terms, and for each term of the table what it adds."""
+    keys = pa.array(list(synonyms), pa.string())
+    more = pa.array(sorted({v for vs in synonyms.values() for v in vs}), pa.string())
+    new = more.filter(pc.invert(pc.is_in(more, value_set=names)))
+    names = pa.concat_arrays([names, new])
+    at = dict(zip(more.to_pylist(), pc.index_in(more, value_set=names).to_pylist()))
+    found = {i: k for k, i in zip(synonyms, pc.index_in(keys, value_set=names).to_pylist()) if i is not None}
+    adds = np.zeros(len(names), dtype=bool)
+    adds[list(found)] = True
+    hit = adds[code]
+    rows, codes, hit_row, hit_code = [row], [code], row[hit], code[hit]
+    for i in np.unique(hit_code).tolist():
+        who = hit_row[hit_code == i]
+        for v in synonyms[found[i]]:
+            rows.append(who)
+            codes.append(np.full(len(who), at[v]))
+    return names, np.concatenate(rows), np.concatenate(codes)
+
+
+def indexed(schema: pa.Schema, fields: list[Rules], what: str, wanted: list[str] | None = None):
+    """For mapInArrow over (id, the text of each field, null where the row has none): rows of `what`, of the wanted terms only.
+
+    postings: term, id, tf, field, length; marks: term, d (ids of a block that have it), p (their postings); lengths: id, n_fields, length."""
+
+    def kept(names: pa.Array) -> np.ndarray:
+        return np.ones(len(names), dtype=bool) if wanted is None else pc.is_in(names, value_set=pa.array(wanted, pa.string())).to_numpy(zero_copy_only=False)
+
+    def length_of(b: pa.RecordBatch, size: list[np.ndarray]) -> np.ndarray:
+        """That of the last field that a row has."""
+        length = np.zeros(b.num_rows, dtype=np.int64)
+        for k, s in enumerate(size):
+            length = np.where(b.column(k + 1).is_valid().to_numpy(zero_copy_only=False), s, length)
+        return length
+
+    def postings(b: pa.RecordBatch):
+        of = [counts_of(b.column(k + 1), r) for k, r in enumerate(fields)]
+        length = length_of(b, [c.size for c in of])
+        for c, rules in zip(of, fields):
+            if len(c.row):
+                first = np.flatnonzero(np.r_[True, c.row[1:] != c.row[:-1]])
+                top = np.zeros(b.num_rows, dtype=np.int64)
+                top[c.row[first]] = np.maximum.reduceat(c.n, first)
+                own = kept(c.names)[c.code]
+                row, code, n = c.row[own], c.code[own], c.n[own]
+                yield [c.names.take(pa.array(code)), b.column(0).take(pa.array(row)), 0.5 + 0.5 * n / top[row], pa.repeat(rules.name, len(row)), length[row]]
+
+    def marks(b: pa.RecordBatch):
+        of = [counts_of(b.column(k + 1), r) for k, r in enumerate(fields)]
+        coded = pa.concat_arrays([c.names for c in of]).dictionary_encode()
+        at, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        base = np.cumsum([0, *[len(c.names) for c in of]])
+        row, code = np.concatenate([c.row for c in of]), np.concatenate([at[c.code + k] for c, k in zip(of, base)])
+        p = np.bincount(code, minlength=len(names))
+        d = np.bincount(runs(row, code, max(1, len(names)))[1], minlength=len(names)) if len(of) > 1 else p
+        own = kept(names) & (p > 0)
+        yield [names.filter(pa.array(own)), d[own], p[own]]
+
+    def lengths(b: pa.RecordBatch):
+        size = [counts_of(b.column(k + 1), r).size if r.synonyms else np.bincount(tokens_of(b.column(k + 1), r)[1], minlength=b.num_rows) for k, r in enumerate(fields)]
+        n = sum(b.column(k + 1).is_valid().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(fields)))
+        yield [b.column(0), n, length_of(b, size)]
+
+    made = {"postings": postings, "marks": marks, "lengths": lengths}[what]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, list(range(1, len(fields) + 1))):
+            for columns in made(b):
+                yield from batches_of(columns, schema)
+
+    return releasing(run)

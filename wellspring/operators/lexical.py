@@ -8,6 +8,7 @@ window per query after the sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values
 from ..functions.stemmer import stemmed
+from . import counted
 from .relational import spread
 
 #: Terms of a table of queries that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Terms of a table of queries that go to where a new index is counted.
+PUSHED_TERMS = 10_000
 #: Index terms that stand in for one term the index lacks.
 MOST_NEAR = 3
 
@@ -42,9 +46,9 @@ class Analysis:
         df = df.withColumn(name, T.words(text, self.stopwords))
         return df.withColumn(name, stemmed(F.col(name))) if self.stem else df
 
-    def document(self, words: Column, full: bool) -> Column:
-        t = F.concat(words, T.bigrams(words)) if self.bigrams and full else words
-        return T.expand_synonyms(t, self.synonyms) if full and self.synonyms else t
+    def rules(self, name: str, full: bool) -> counted.Rules:
+        synonyms = T.synonym_map(self.synonyms) if full and self.synonyms else None
+        return counted.Rules(name, tuple(self.stopwords or ()), self.stem, self.bigrams and full, synonyms)
 
 
 @dataclass
@@ -53,7 +57,8 @@ class LexicalIndex:
     terms: DataFrame  # term, df, idf, n_postings
     lengths: DataFrame  # id, length
     stats: DataFrame  # one row: n_docs, avg_length
-    marks: DataFrame | None = None  # of a new index: term, d (1 once for each id that has the term)
+    marks: DataFrame | None = None  # of a new index: term, d (ids that have the term; sums by block of rows)
+    made: Callable | None = None  # of a new index: postings or marks of some terms
 
     def save(self, path: str) -> None:
         """Postings are clustered by term, so that a query's terms touch few files."""
@@ -70,6 +75,10 @@ class LexicalIndex:
             got.lengths, got.postings = got.lengths.withColumn("length", none), got.postings.withColumn("length", none)
         return got
 
+    def only(self, terms: list[str]) -> LexicalIndex:
+        """The index with postings and marks of these terms: others are dropped where they are counted."""
+        return replace(self, postings=self.made("postings", terms), marks=self.made("marks", terms))
+
     def idf_of(self, wanted: DataFrame) -> DataFrame:
         """term, idf of the wanted terms (distinct). A new index counts only these, in place of its whole vocabulary."""
         if self.marks is None:
@@ -78,54 +87,36 @@ class LexicalIndex:
         return few.crossJoin(F.broadcast(self.stats.select("n_docs"))).select("term", idf("n_docs", "df").alias("idf"))  # one row
 
 
-def exploded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
-    """keep, and the members of the array's structs. The plain explode would have its whole array computed again, in a filter on its size."""
-    return df.select(*keep, F.explode_outer(array).alias("x")).filter("x IS NOT NULL").select(*keep, "x.*")
-
-
-def field_tokens(items: DataFrame, analysis: Analysis, fields=FIELDS) -> DataFrame:
-    """id, n_fields, fields: the name and the tokens of each non-empty field of a row. Rows without such fields are left out."""
-    used = [(i, n, c, full) for i, (n, c, full) in enumerate(fields) if c in items.columns]
-    df = spread(items.select("id", *[F.col(c).alias(f"text_{i}") for i, _, c, _ in used]))
-    filled = [F.coalesce((F.col(f"text_{i}") != "").cast("int"), F.lit(0)) for i, *_ in used]
-    df = df.withColumn("n_fields", reduce(Column.__add__, filled)).filter("n_fields > 0")  # by texts alone: a filter on tokens would have them made twice
-    for i, _, _, _ in used:
-        df = analysis.with_words(df, F.col(f"text_{i}"), f"words_{i}")
-    df = df.select("*", *[analysis.document(F.col(f"words_{i}"), full).alias(f"tokens_{i}") for i, _, _, full in used])
-    one = lambda i, n: F.when(F.col(f"text_{i}") != "", F.struct(F.lit(n).alias("field"), F.col(f"tokens_{i}").alias("tokens")))
-    return df.select("id", "n_fields", F.filter(F.array(*[one(i, n) for i, n, _, _ in used]), lambda f: f.isNotNull()).alias("fields"))
+def field_texts(items: DataFrame, analysis: Analysis, fields=FIELDS) -> tuple[DataFrame, list[counted.Rules]]:
+    """id and the text of each field, null where a row has none; and the fields' rules. Rows without such fields are left out."""
+    used = [(n, c, full) for n, c, full in fields if c in items.columns]
+    df = spread(items.select("id", *[F.col(c).alias(f"text_{i}") for i, (_, c, _) in enumerate(used)]))
+    names = [f"text_{i}" for i in range(len(used))]
+    df = df.filter(reduce(Column.__or__, [F.col(x) != "" for x in names]))
+    texts = [F.when(F.col(x) != "", T.spaced(F.col(x), "'")).alias(x) for x in names]
+    return df.select("id", *texts), [analysis.rules(n, full) for n, _, full in used]
 
 
 def build_index(items: DataFrame, analysis: Analysis | None = None, fields=FIELDS, stats: str = "field") -> LexicalIndex:
     """stats "field": each field counts as a document; "document": each id does.
 
     Ids are unique, as in every table of the store, so a row's terms are counted inside the row and postings need no shuffle;
-    only the terms' document frequencies do, with map-side combination. Nothing is cached: each table makes what it needs of the
-    tokens again, row by row, since cached rows are held 10,000 at once, with all their terms."""
-    docs = field_tokens(items, analysis or Analysis(), fields)
-    none = F.array().cast("array<struct<term:string,n:int>>")
-    docs = docs.withColumn("length", F.size(F.element_at("fields", -1)["tokens"]).cast("long"))
-
-    def entry(f: Column) -> Column:
-        tf = lambda n, top: F.lit(0.5) + F.lit(0.5) * n / top
-        rows = lambda cs: lambda top: F.transform(cs, lambda c: F.struct(c["term"].alias("term"), tf(c["n"], top).alias("tf"), f["field"].alias("field")))
-        return T.let(F.coalesce(T.runs(f["tokens"]), none), lambda cs: T.let(F.array_max(F.transform(cs, lambda c: c["n"])), rows(cs)))
-
-    postings = exploded(docs, F.flatten(F.transform("fields", entry)), "id", "length").select("term", "id", "tf", "field", "length")
-    lengths = docs.select("id", "length")
+    only the terms' document frequencies do, summed by block of rows first. Nothing is cached: each table counts the terms again,
+    a block at a time, since cached rows are held 10,000 at once, with all their terms."""
+    docs, rules = field_texts(items, analysis or Analysis(), fields)
+    kind = f"id {items.schema['id'].dataType.simpleString()}"
+    kinds = {"postings": f"term string, {kind}, tf double, field string, length long", "marks": "term string, d long, p long", "lengths": f"{kind}, n_fields long, length long"}
+
+    def made(what: str, wanted: list[str] | None = None) -> DataFrame:
+        return counted.mapped(docs, counted.indexed, kinds[what], rules, what, wanted)
+
+    sizes, marks = made("lengths"), made("marks")
     n = F.sum("n_fields") if stats == "field" else F.count(F.lit(1))
-    one = docs.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n_docs"), F.sum("length").alias("total"))
+    one = sizes.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n_docs"), F.sum("length").alias("total"))
     one = one.select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).otherwise(0.0).alias("avg_length"))
-    every = F.flatten(F.transform("fields", lambda f: F.array_distinct(f["tokens"])))
-    mark = lambda a, d, p: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(d).alias("d"), F.lit(p).alias("p")))
-    if len([c for _, c, _ in fields if c in items.columns]) > 1:
-        marks = T.let(every, lambda a: F.concat(mark(F.array_distinct(a), 1, 0), mark(a, 0, 1)))
-    else:
-        marks = mark(every, 1, 1)
-    marks = exploded(docs, marks)
     terms = marks.groupBy("term").agg(F.sum("d").alias("df"), F.sum("p").alias("n_postings"))
     terms = terms.crossJoin(F.broadcast(one.select("n_docs"))).withColumn("idf", idf("n_docs", "df"))  # one row
-    return LexicalIndex(postings, terms.select("term", "df", "idf", "n_postings"), lengths, one, marks)
+    return LexicalIndex(made("postings"), terms.select("term", "df", "idf", "n_postings"), sizes.select("id", "length"), one, marks, made)
 
 
 def idf(n_docs, df) -> Column:
@@ -205,6 +196,8 @@ def scores(
         near = fuzzy_terms(wanted, index.terms, fuzzy)
         probe = probe.join(near.withColumnRenamed("index_term", "near"), ["query_id", "term"], "left").withColumn("index_term", F.coalesce("near", "index_term")).drop("near")
     n = wanted.count()
+    if index.made and not fuzzy and n <= PUSHED_TERMS:
+        index = index.only([r.term for r in wanted.select("term").distinct().collect()])
     probe = small(probe, n * MOST_NEAR if fuzzy else n)  # the postings are then filtered where they are, without a shuffle
     hits = probe.join(index.postings.withColumnRenamed("term", "index_term"), "index_term")
     hits = hits.join(small(index.idf_of(small(wanted.select("term").distinct(), n)), n), "term", "left").crossJoin(F.broadcast(index.stats))  # one row

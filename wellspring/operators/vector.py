@@ -35,7 +35,7 @@ def hashed_counts(items: DataFrame, text: str = "text", buckets: int = values.HA
     """id, bucket, tf, weight (tf over the L2 norm of the row): counted inside each row, without a shuffle. Ids are unique."""
     kind = f"id {items.schema['id'].dataType.simpleString()}, bucket long, tf long, weight double"
     rows = spread(items.select("id", text)).select("id", T.spaced(F.col(text)).alias("text"))
-    return rows.mapInArrow(counted.hashed(to_arrow_schema(_parse_datatype_string(kind)), buckets), kind)
+    return counted.mapped(rows, counted.hashed, kind, buckets)
 
 
 def embed(items: DataFrame, text: str = "text", dim: int = values.VECTOR_DIM, seed: int = values.VECTOR_SEED, half: bool = True) -> DataFrame:
