@@ -483,3 +483,16 @@ def test_term_df_idf_counts_terms_a_block_at_a_time(spark, monkeypatch):
                 d, p = got.get(r["term"], (0, 0))
                 got[r["term"]] = (d + r["d"], p + r["p"])
         assert got == {"fox": (4, 5), "dog": (2, 3), "dog's": (1, 1), "a_1": (1, 1), "fox_fox": (1, 1), "fox_dog": (1, 1), "dog_dog's": (1, 1), "a_1_fox": (1, 1)}
+
+
+def test_search_bm25_documents_counts_only_the_queries_terms(spark):
+    items = spark.createDataFrame([(1, "red red red fox"), (2, "fox blue"), (3, "dog")], "id long, text string")
+    index = lexical.build_index(items, catalog.NO_SYNONYMS, catalog.TEXT_FIELD)
+    few = index.only(["fox", "none"])
+    assert {(r.term, r.id, round(r.tf, 6), r.field, r.length) for r in few.postings.collect()} == {("fox", 1, 0.666667, "text", 7), ("fox", 2, 1.0, "text", 3)}
+    assert [(r.term, r.df) for r in few.marks.groupBy("term").agg(F.sum("d").alias("df")).collect()] == [("fox", 2)]
+    named = items.select("id", F.col("text").alias("indication_text"), F.lit(None).cast("string").alias("normalized_text"))
+    query = lexical.query_table(spark, ["fox", "blue dog"])
+    whole = lexical.LexicalIndex(index.postings, index.terms, index.lengths, index.stats)
+    ask = lambda i: {(r.query_id, r.id, round(r.score, 9)) for r in lexical.scores(i, query, named, catalog.NO_SYNONYMS).collect()}
+    assert ask(index) == ask(whole) and len(ask(index)) == 4
