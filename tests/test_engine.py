@@ -496,3 +496,19 @@ def test_search_bm25_documents_counts_only_the_queries_terms(spark):
     whole = lexical.LexicalIndex(index.postings, index.terms, index.lengths, index.stats)
     ask = lambda i: {(r.query_id, r.id, round(r.score, 9)) for r in lexical.scores(i, query, named, catalog.NO_SYNONYMS).collect()}
     assert ask(index) == ask(whole) and len(ask(index)) == 4
+
+
+def test_search_stemmed_documents_index_sets_of_stems_and_synonyms(spark):
+    from wellspring.functions.text import synonym_map
+    from wellspring.functions.values import STOPWORDS
+
+    key, more = next((k, vs) for k, vs in synonym_map().items() if stemmer.stem(k) == k)
+    texts = [f"running the dogs running {key} {key}", f"'{key}'", "the", "flies", None]
+    index = lexical.build_index(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), lexical.Analysis(), catalog.TEXT_FIELD)
+    want = {}
+    for i, t in enumerate(texts[:4]):
+        w = [stemmer.stem(x) for x in (x.strip("'") for x in t.split()) if x not in STOPWORDS]
+        terms = {*w, *map("_".join, zip(w, w[1:]))}
+        want[i] = terms | {v for x in terms for v in synonym_map().get(x, [])}
+    assert more and {(r.id, r.term, r.tf, r.length) for r in index.postings.collect()} == {(i, x, 1.0, len(s)) for i, s in want.items() for x in s}
+    assert {r.id: r.length for r in index.lengths.collect()} == {i: len(s) for i, s in want.items()}
