@@ -335,6 +335,18 @@ def test_markdown_sections_are_made_once(spark, tmp_path):
     assert catalog.markdown_sections(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # a small file, dealt over all cores
 
 
+def test_markdown_sections_of_many_headings(spark):
+    texts = [(1, long_monograph(20_000)), (2, "# B\nx\n# a\ny\n#b\nz\n# A\n"), (3, "#\n- 1\n# b\n- 2\n##\n- 3\n"), (4, "# c\n1\n# b\n2\n# c\n3\n# a\n4\n# b\n5\n")]
+    df = spark.createDataFrame(texts, "id long, t string").repartition(1)
+    got = df.select("id", E.sections(F.col("t")).alias("x"))
+    assert counted(got, "exists") == 0  # a section was held against all after it: time by the square of their number
+    rows = {r.id: [(s.name, s.content) for s in r.x] for r in got.collect()}
+    assert [s for s, _ in rows[1]] == ["_header", *[f"part {k}" for k in [*range(2, 19_998), 0, 1]], "uses", "warnings"]
+    assert rows[1][-4:-2] == [("part 0", "- entry 19998 of it"), ("part 1", "- entry 19999 of it")]
+    assert rows[2] == [("b", "z"), ("a", "")] and rows[3] == [("b", "- 2"), ("", "- 3")]
+    assert rows[4] == [("c", "3"), ("a", "4"), ("b", "5")]
+
+
 def test_markdown_safety_splits_a_text_once(spark):
     df = spark.createDataFrame([(long_monograph(60),)], "t string").repartition(1)
     got = df.select(E.markdown_safety(F.col("t")).alias("x"))

@@ -141,7 +141,8 @@ def document_binomials(text: Column) -> Column:
 def sections(text: Column) -> Column:
     """array<struct<name, content>>: a heading opens a section; of equal names the last stays; a heading without lines none.
 
-    Lines, headings and sections are made once a text: an outer expression inside a lambda is evaluated again for each member."""
+    Lines, headings and sections are made once a text: an outer expression inside a lambda is evaluated again for each member. Equal names meet
+    by sorting, not by holding each section against all others."""
 
     def made(lines: Column, heads: Column) -> Column:
         def one(i: Column, j: Column) -> Column:
@@ -156,7 +157,13 @@ def sections(text: Column) -> Column:
     def headings(lines: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i == F.size(lines)) | F.get(lines, i).startswith("#"))
 
-    last = lambda found: F.filter(found, lambda s, k: ~F.exists(F.slice(found, k + 2, F.size(found)), lambda t: t["name"] == s["name"]))
+    def last(found: Column) -> Column:
+        named = F.sort_array(F.transform(found, lambda s, k: F.struct(s["name"].alias("name"), k.alias("k"))))
+        ends = lambda a: F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)["name"] != x["name"], F.lit(True)))
+        kept = F.transform(F.sort_array(F.transform(let(named, ends), lambda x: x["k"])), lambda k: F.get(found, k))
+        distinct = F.size(F.array_distinct(F.transform(found, lambda s: s["name"])))  # by hash
+        return F.when(distinct == F.size(found), found).otherwise(kept)
+
     return F.when(text.isNotNull(), let(F.split(text, "\n"), lambda lines: let(headings(lines), lambda heads: let(made(lines, heads), last))))
 
 
