@@ -1,6 +1,7 @@
 """Operators of the engine on small literal inputs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -354,6 +355,16 @@ def test_markdown_safety_splits_a_text_once(spark):
     assert [i.text for i in got.first().x] == ["never with wine"]
 
 
+def test_markdown_safety_passes_blank_lines_once(spark):
+    blank = " \n" * 80_000
+    df = spark.createDataFrame([(f"# T\n\n## Warnings\n{blank}- never with wine{blank}- avoid it\n{blank}",)], "t string").repartition(1)
+    began = time.monotonic()
+    got = df.select(E.sections(F.col("t")).alias("s"), E.markdown_safety(F.col("t")).alias("x")).first()
+    assert time.monotonic() - began < 10  # each blank was tried as the start of the text's end: 133 s for this text
+    assert [i.text for i in got.x] == ["never with wine", "avoid it"]
+    assert got.s[-1].content == f"- never with wine{blank}- avoid it"
+
+
 def test_doc_lengths_cache_nothing(spark):
     text = "''Tis the 'quoted' dog's ''' rock 'n' roll' a''b"
     assert one(spark, lambda c: T.words(c, None), text) == ["tis", "the", "quoted", "dog's", "rock", "n", "roll", "a''b"]
